@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from linkstone.llm.bpe import op6_bpe
+from linkstone.llm.html_text import op4_html
 from linkstone.llm.packing import op8_packing
+from linkstone.llm.toxicity import op5_toxicity
+from linkstone.llm.warc import op9_warc
 
 QUERIES = {
+    "op4_html": op4_html,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
