@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from linkstone.llm.ann import op3_ann
 from linkstone.llm.bpe import op6_bpe
 from linkstone.llm.html_text import op4_html
 from linkstone.llm.packing import op8_packing
+from linkstone.llm.topk_inner import OP2_SQL, op2_topk
 from linkstone.llm.toxicity import op5_toxicity
 from linkstone.llm.warc import op9_warc
 
 QUERIES = {
+    "op2_topk": op2_topk,
+    "op3_ann": op3_ann,
     "op4_html": op4_html,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
@@ -16,4 +20,4 @@ QUERIES = {
     "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL}
