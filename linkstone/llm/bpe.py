@@ -131,10 +131,10 @@ class Vocabulary:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in their order, and the number of ids up to each word."""
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
+        new = list(set(words).difference(self.place))
         if len(self.place) + len(new) > self.max_words and self.place:
             self.clear()
-            new = list(dict.fromkeys(words))
+            new = list(set(words))
         if new:
             ids, size = replay([w.encode() for w in new], self.ranks)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
@@ -148,11 +148,17 @@ class Vocabulary:
         return self.ids[out], upto
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 250_000) -> DataFrame:
+@lru_cache(maxsize=1)
+def vocabulary_of(path: str, max_words: int) -> Vocabulary:
+    """The vocabulary of this Python worker, which later tasks in it go on using."""
+    return Vocabulary(load(path), max_words)
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 700_000) -> DataFrame:
     """(id, ids array<int>): the BPE ids of each whole text; every match of ``pattern`` is a word of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split = Vocabulary(load(ranks_path), max_words), regex.compile(pattern)
+        vocabulary, split = vocabulary_of(ranks_path, max_words), regex.compile(pattern)
         for batch in slices(batches, "text", 2 << 20):
             words: list[str] = []
             upto = [0]
