@@ -99,7 +99,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 4, per_file: int = 4000) -> None:
+def write_archive(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 4, per_file: int = 1000) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files below ``path``."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
