@@ -118,7 +118,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
             if out:
                 yield _rows(out)
 
-    return docs.join(per_text, "id").select("text", "cuts").mapInArrow(run, _ROW)
+    return docs.join(per_text.hint("merge"), "id").select("text", "cuts").mapInArrow(run, _ROW)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -247,13 +247,16 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1024
     return whole, stash(placed.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "by-text")
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 64, most: int = 1024) -> DataFrame:
-    """``df`` with kept_ (binary, the bytes that stay), n_bytes_, n_removed_, n_spans_ (long)."""
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 64, most: int = 1024, as_text: bool = False) -> DataFrame:
+    """``df`` with kept_ (binary, the bytes that stay), n_bytes_, n_removed_, n_spans_ (long).
+
+    ``as_text``: kept_ is a string; of a character of which only some bytes stay, none do.
+    """
     docs = text_of(df, F.col(id_col).cast("long").alias("id"), text=text_col)
     whole, spans = repeats(docs, length, gram, most)
     marks = whole.groupBy("id").agg(F.collect_set("digest").alias("digests")).join(spans, "id", "full")
     own = list(df.columns)
-    rows = df.select("*", F.col(id_col).cast("long").alias("id__")).join(marks.withColumnRenamed("id", "id__"), "id__", "left")
+    rows = df.select("*", F.col(id_col).cast("long").alias("id__")).join(marks.withColumnRenamed("id", "id__").hint("merge"), "id__", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
@@ -274,14 +277,15 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
                 for low, high in runs:
                     parts.append(raw[at:low])
                     at = high
-                kept.append(b"".join([*parts, raw[at:]]))
+                left = b"".join([*parts, raw[at:]])
+                kept.append(left.decode(errors="ignore") if as_text else left)
                 sizes.append(len(raw))
                 removed.append(sum(high - low for low, high in runs))
                 counts.append(len(runs))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*own, "kept_", "n_bytes_", "n_removed_", "n_spans_"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*own, "kept_", "n_bytes_", "n_removed_", "n_spans_"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.select(*own, "digests", "spans").mapInArrow(run, f"{fields}, kept_ binary, n_bytes_ long, n_removed_ long, n_spans_ long")
+    return rows.select(*own, "digests", "spans").mapInArrow(run, f"{fields}, kept_ {'string' if as_text else 'binary'}, n_bytes_ long, n_removed_ long, n_spans_ long")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

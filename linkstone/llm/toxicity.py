@@ -204,6 +204,21 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return text_of(documents, id_col, text=text_col).mapInArrow(run, f"{id_col} {kind}, evidence double, score double")
 
 
+def tolerable(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text scores below the threshold."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scorer = Scorer(model)
+        for batch in slices(batches, text_col):
+            x = scorer([t or "" for t in batch.column(text_col).to_pylist()])
+            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -800, 700)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Rows no label may be learned from."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
