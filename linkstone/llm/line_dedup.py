@@ -86,7 +86,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wind
     """``df`` with the repeated chunks out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long)."""
     gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every)
     kept = df.select("*", F.col(text_col).alias("text__"), F.col(id_col).cast("long").alias("id__"))
-    joined = kept.join(gone.withColumnRenamed("id", "id__").withColumnRenamed("gone", "gone__"), "id__", "left").drop("id__")
+    # a sorted join at every size: the list of removals grows with the texts
+    joined = kept.join(gone.withColumnRenamed("id", "id__").withColumnRenamed("gone", "gone__").hint("merge"), "id__", "left").drop("id__")
     own = [c for c in df.columns if c != text_col]
     order = [*own, "text__", "gone__"]
 
