@@ -179,11 +179,14 @@ def repeated_strings(rows: DataFrame, length: int, gram: int, batch_bytes: int =
         sizes = np.array([len(r["data"]) for r in rows])
         start = np.cumsum(sizes) - sizes
         base = np.array([r["left"] for r in rows]) - side
-        order = two_stage(data, length)
+        low, high = (np.array([r[c] for r in rows]) for c in "ab")
+        # places whose string of ``length`` bytes holds the anchor and lies in the context
+        place = np.arange(len(data)) - np.repeat(start + base, sizes)
+        wanted = (np.arange(len(data)) + length <= np.repeat(start + sizes, sizes)) & (place >= np.repeat(low, sizes)) & (place < np.repeat(high, sizes))
+        order = two_stage(data, length, wanted)
         prefix = adjacent_prefixes(data, order, length)
         row = np.repeat(np.arange(len(rows)), sizes)[order]
-        place = order - start[row] - base[row]  # of the string, from the first that holds the anchor
-        whole = (order - start[row] + length <= sizes[row]) & (place >= np.array([r["a"] for r in rows])[row]) & (place < np.array([r["b"] for r in rows])[row])
+        place, whole = place[order], wanted[order]
         key = np.cumsum(prefix < length)[whole] * 4096 + place[whole]
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         again = count[which] > 1
@@ -226,7 +229,7 @@ def _settle(rows: DataFrame, length: int, gram: int, most: int) -> DataFrame:
         todo = goes_on.select("gid", "h", "ctx", (F.col("single") & (F.col("same") == 1)).alias("single"), "left", "a", "b", "data")
 
 
-def repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1024) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 400, gram: int = 256, most: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(id, digest) of texts that go whole, and (id, spans array<struct<low int, high int>>) of repeated bytes."""
     scan = stash(_scan(docs, length, gram), "anchors")
     texts = scan.where("digest IS NOT NULL AND size >= %d" % length)
@@ -247,7 +250,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1024
     return whole, stash(placed.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "by-text")
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 64, most: int = 1024, as_text: bool = False) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 256, most: int = 2048, as_text: bool = False) -> DataFrame:
     """``df`` with kept_ (binary, the bytes that stay), n_bytes_, n_removed_, n_spans_ (long).
 
     ``as_text``: kept_ is a string; of a character of which only some bytes stay, none do.

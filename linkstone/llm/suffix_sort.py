@@ -16,8 +16,19 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return step[at] > 0
 
 
-def two_stage(data: bytes, depth: int) -> np.ndarray:
-    """Suffixes of ``data`` in an order that is right up to ``depth`` bytes.
+def closed(text: np.ndarray, wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """``wanted`` and, after each wanted suffix that is larger than its successor, the run up to the next smaller one."""
+    n = len(text)
+    stop = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1]
+    edge = np.zeros(n + 1, np.int32)
+    at = np.flatnonzero(wanted)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, stop[at] + 1, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def two_stage(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``data`` (of the ``wanted`` places, and some others) in an order that is right up to ``depth`` bytes.
 
     Only suffixes smaller than their successors are sorted by comparison, two first bytes at a time.
     A scan over the buckets of first bytes, from the smallest, then puts each other suffix in its
@@ -27,28 +38,32 @@ def two_stage(data: bytes, depth: int) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    small = np.flatnonzero(smaller_than_successor(text))
+    small = smaller_than_successor(text)
+    active = np.ones(n, bool) if wanted is None else closed(text, wanted, small)
+    small = np.flatnonzero(small & active)
     pair = text[small].astype(np.int32) << 8 | np.append(text, np.uint8(0))[small + 1]
-    small = small[np.argsort(pair, kind="stable")]
-    pair = np.sort(pair)
+    order = np.argsort(pair, kind="stable")
+    small, pair = small[order], pair[order]
     direct: list[list[int]] = [[] for _ in range(256)]
     for bucket in np.split(small, np.flatnonzero(np.diff(pair)) + 1) if len(small) else ():
         direct[text[bucket[0]]] += sorted(bucket.tolist(), key=lambda i: data[i : i + depth])
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
-    queue[text[-1]].append(np.array([n - 1]))  # its successor is the end, the smallest of all
+    if active[-1]:
+        queue[text[-1]].append(np.array([n - 1]))  # its successor is the end, the smallest of all
+    before = np.concatenate([[False], active[:-1]])  # whether the suffix one place earlier is to be placed
     out = []
     for byte in range(256):
         wave = np.concatenate(queue[byte]) if queue[byte] else np.zeros(0, np.int64)
         induced = [wave]
         while len(wave):  # runs of one byte: each suffix places the one before it in the same bucket
-            prior = wave[wave > 0] - 1
+            prior = wave[before[wave]] - 1
             wave = prior[text[prior] == byte]
             induced.append(wave)
         bucket = np.concatenate([*induced, np.array(direct[byte], np.int64)]).astype(np.int64)
         if not len(bucket):
             continue
         out.append(bucket)
-        prior = bucket[bucket > 0] - 1
+        prior = bucket[before[bucket]] - 1
         prior = prior[text[prior] > byte]
         if len(prior):
             kind = text[prior]
@@ -56,7 +71,7 @@ def two_stage(data: bytes, depth: int) -> np.ndarray:
             prior, kind = prior[order], kind[order]
             for part in np.split(prior, np.flatnonzero(np.diff(kind)) + 1):
                 queue[text[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def adjacent_prefixes(data: bytes, order: np.ndarray, depth: int) -> np.ndarray:
