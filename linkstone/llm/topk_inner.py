@@ -72,16 +72,16 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, head: int | None = N
     packed = blocks(asked.repartition(n_queries, "qpart"), width, query_block)
 
     def thresholds(batches):
-        for batch in batches:
-            q = np.frombuffer(batch.column("data")[0].as_py()).reshape(-1, width)
-            ids = np.frombuffer(batch.column("ids")[0].as_py(), np.int64)
+        for block in (batch.slice(n, 1) for batch in batches for n in range(batch.num_rows)):
+            q = np.frombuffer(block.column("data")[0].as_py()).reshape(-1, width)
+            ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
             scores = exact(q, lead_data)
             scores[ids[:, None] == lead_ids[None, :]] = np.iinfo(np.int64).min
             least = np.full(len(ids), -np.inf)
             if len(lead_ids) > k:
                 kth = -np.partition(-scores.astype(float), k - 1, axis=1)[:, k - 1]
                 least = np.where(kth > -(2.0**62), kth, -np.inf)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([least.tobytes()], pa.binary())], names=["low_q", "qids", "qdata", "least"])
+            yield pa.RecordBatch.from_arrays([*block.columns[1:], pa.array([least.tobytes()], pa.binary())], names=["low_q", "qids", "qdata", "least"])
 
     queries = packed.mapInArrow(thresholds, "low_q double, qids binary, qdata binary, least binary").withColumn("qpart", F.pmod(F.spark_partition_id(), F.lit(n_queries)))
 
