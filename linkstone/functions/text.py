@@ -116,9 +116,12 @@ def normalise_address(df: DataFrame, column: str, token_map: dict[str, str] | No
     for old, new in (("n°", " no "), ("#", " ")):
         out = out.withColumn("_s", F.replace("_s", F.lit(old), F.lit(new)))
     out = out.withColumn("_s", F.replace(F.regexp_replace("_s", r"\b(\d{3})\s(\d{3})\b", "$1$2"), F.lit("-"), F.lit(" ")))
-    for table in (D.STATES_US, D.STATES_IN):  # longer names first
-        for name in sorted((n for n in table if " " in n), key=len, reverse=True):
-            out = out.withColumn("_s", F.when(F.contains("_s", F.lit(name)), F.regexp_replace("_s", rf"\b{re.escape(name)}\b", table[name])).otherwise(F.col("_s")))
+    # states of several words, longer names first; only rows that have one go through the replacements
+    several = [(name, code) for table in (D.STATES_US, D.STATES_IN) for name, code in sorted(table.items(), key=lambda x: -len(x[0])) if " " in name]
+    replaced = F.col("_s")
+    for name, code in several:
+        replaced = F.regexp_replace(replaced, rf"\b{re.escape(name)}\b", code)
+    out = out.withColumn("_s", F.when(F.col("_s").rlike("|".join(re.escape(name) for name, _ in several)), replaced).otherwise(F.col("_s")))
     ordinal = "regexp_replace(t, r'^(\\d+)(?:st|nd|rd|th|er|e|eme|ème)$', '$1')"
     states = {**D.STATES_IN, **D.STATES_US}
     out = out.withColumn("_t", F.expr(f"transform({_tokens('_s')}, t -> {ordinal})"))

@@ -54,7 +54,7 @@ def id_lists(pairs: DataFrame, queries: DataFrame) -> DataFrame:
 def write_id_lists(lists: DataFrame, path: str, header: tuple[str, str]) -> None:
     """Id lists as text parts in order of s1, each with the header."""
     ordered = lists.repartitionByRange("s1").sortWithinPartitions("s1")
-    ordered.select(F.concat_ws("\t", "s1", "ids").alias("\t".join(header))).write.mode("overwrite").option("quote", "").option("emptyValue", "").option("header", True).option("sep", "\x01").csv(path)
+    ordered.select(F.concat_ws("\t", "s1", "ids").alias("\t".join(header))).write.mode("overwrite").option("quote", "").option("emptyValue", "").option("ignoreTrailingWhiteSpace", False).option("header", True).option("sep", "\x01").csv(path)
 
 
 def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
