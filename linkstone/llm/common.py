@@ -61,3 +61,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str | None, limit: int = 4
 def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The id columns and the text, with null texts as empty ones."""
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be none of the frame's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -171,6 +171,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", *kee
             text = pa.array([main_text(page) for page in batch.column("html_").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "text"])
 
+    keep = tuple(c for c in keep if c != "text")
     kept = df.select(id_col, *keep, F.coalesce(F.col(html_col), F.lit("")).alias("html_"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{fields}, text string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstone.llm.common import slices, stash, table
+from linkstone.llm.common import fresh, slices, stash, table
 
 _MASK = (1 << 64) - 1
 
@@ -83,25 +83,27 @@ def removals(docs: DataFrame, window: int, every: int) -> DataFrame:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, every: int = 3) -> DataFrame:
-    """``df`` with the repeated chunks out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long)."""
+    """``df`` with the repeated chunks out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long) in place of columns of these names."""
     gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every)
-    kept = df.select("*", F.col(text_col).alias("text__"), F.col(id_col).cast("long").alias("id__"))
+    df = df.drop("lines_before_", "lines_gone_", "chunks_gone_")
+    key, marked = fresh(df, "key_", "gone_")
     # a sorted join at every size: the list of removals grows with the texts
-    joined = kept.join(gone.withColumnRenamed("id", "id__").withColumnRenamed("gone", "gone__").hint("merge"), "id__", "left").drop("id__")
+    gone = gone.select(F.col("id").alias(key), F.col("gone").alias(marked)).hint("merge")
+    joined = df.select("*", F.col(id_col).cast("long").alias(key)).join(gone, key, "left")
     own = [c for c in df.columns if c != text_col]
-    order = [*own, "text__", "gone__"]
+    order = [*own, text_col, marked]
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text__"):
+        for batch in slices(batches, text_col):
             texts, before, lines, parts = [], [], [], []
-            for text, places in zip(batch.column("text__").to_pylist(), batch.column("gone__").to_pylist(), strict=True):
+            for text, places in zip(batch.column(text_col).to_pylist(), batch.column(marked).to_pylist(), strict=True):
                 n_lines = n_parts = 0
                 before.append(0 if text is None else text.count("\n") + 1)
                 if places:
-                    marked = {p["place"]: p["digest"] for p in places}
+                    known = {p["place"]: p["digest"] for p in places}
                     stay = []
                     for place, chunk in enumerate(chunks(text or "", window, every)):
-                        if place in marked and digest("\n".join(chunk)) == marked[place]:
+                        if place in known and digest("\n".join(chunk)) == known[place]:
                             n_lines += len(chunk)
                             n_parts += 1
                         else:

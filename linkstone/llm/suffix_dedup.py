@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstone.llm.common import empty, slices, stash, table, text_of
+from linkstone.llm.common import empty, fresh, slices, stash, table, text_of
 from linkstone.llm.shingles import _tables, mix
 from linkstone.llm.suffix_sort import adjacent_prefixes, two_stage
 
@@ -253,25 +253,28 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 256, most: int = 204
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 256, most: int = 2048, as_text: bool = False) -> DataFrame:
     """``df`` with kept_ (binary, the bytes that stay), n_bytes_, n_removed_, n_spans_ (long).
 
-    ``as_text``: kept_ is a string; of a character of which only some bytes stay, none do.
+    Columns of these names are replaced.  ``as_text``: kept_ is a string; of a character of which only some bytes stay, none do.
     """
     docs = text_of(df, F.col(id_col).cast("long").alias("id"), text=text_col)
     whole, spans = repeats(docs, length, gram, most)
+    df = df.drop("kept_", "n_bytes_", "n_removed_", "n_spans_")
+    key, copied, marked = fresh(df, "key_", "digests_", "spans_")
     marks = whole.groupBy("id").agg(F.collect_set("digest").alias("digests")).join(spans, "id", "full")
+    marks = marks.select(F.col("id").alias(key), F.col("digests").alias(copied), F.col("spans").alias(marked)).hint("merge")
     own = list(df.columns)
-    rows = df.select("*", F.col(id_col).cast("long").alias("id__")).join(marks.withColumnRenamed("id", "id__").hint("merge"), "id__", "left")
+    rows = df.select("*", F.col(id_col).cast("long").alias(key)).join(marks, key, "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             kept, sizes, removed, counts = [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in (text_col, "digests", "spans"))
-            for text, digests, marked in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in (text_col, copied, marked))
+            for text, digests, strings in zip(*columns, strict=True):
                 raw = (text or "").encode()
                 if digests and xxhash.xxh3_128_digest(raw) in digests:
                     runs = [(0, len(raw))]
                 else:
                     runs = []
-                    for low, high in sorted((s["low"], s["high"]) for s in marked or ()):
+                    for low, high in sorted((s["low"], s["high"]) for s in strings or ()):
                         if runs and low <= runs[-1][1]:
                             runs[-1] = (runs[-1][0], max(high, runs[-1][1]))
                         else:
@@ -288,7 +291,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*own, "kept_", "n_bytes_", "n_removed_", "n_spans_"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.select(*own, "digests", "spans").mapInArrow(run, f"{fields}, kept_ {'string' if as_text else 'binary'}, n_bytes_ long, n_removed_ long, n_spans_ long")
+    return rows.select(*own, copied, marked).mapInArrow(run, f"{fields}, kept_ {'string' if as_text else 'binary'}, n_bytes_ long, n_removed_ long, n_spans_ long")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
