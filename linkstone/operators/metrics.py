@@ -55,6 +55,12 @@ def miss_table(lost: DataFrame) -> DataFrame:
     return lost.groupBy("country", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def miss_pivot(lost: DataFrame) -> DataFrame:
+    """A row for each country, a column for each category."""
+    kinds = ["not_in_country", "rank_13_45", "rank_46_60", "no_shared_key", "only_df_gt_cap", "rank_gt_60"]
+    return lost.groupBy("country").pivot("category", kinds).count().fillna(0)
+
+
 def expansion_sweep(pool: DataFrame, gold: DataFrame, adds: list[int]) -> DataFrame:
     """(added, found): matches among the direct candidates and the first ``added`` neighbours."""
     w = Window.partitionBy("s1", "from_exp").orderBy(F.desc("esc"), "cand")

@@ -150,6 +150,12 @@ ORACLE_SQL = {
     "er_query_expansion": sql("pool", " SELECT country, s1, cand, sc, esc, en, from_exp FROM pool"),
     "er_s1_context": sql("pool", " SELECT s1, cand, brank, rank_n, rank_a, erank, n_pool, b_rel, b_gap FROM ctx"),
     "er_cand_competition": sql("pool", " SELECT s1, cand, c_nq, c_rank, round(CASE WHEN c_nq = 1 THEN 0.0 WHEN sc = m1 THEN sc - coalesce(m2, sc) ELSE sc - m1 END, 6) AS c_gap FROM comp"),
+    "er_ranker_features": sql("pairs", """, rt AS (SELECT country, entity_id AS id, array_to_string(core, ' ') AS core, nums[1] AS fnum, list_filter(nums, lambda x: length(x) IN (5, 6))[1] AS zip, (ad = '')::INTEGER AS ad_empty, len(core)::INTEGER AS ntok,
+  (count(*) OVER (PARTITION BY country, src = 1, array_to_string(core, ' ')))::INTEGER AS core_freq FROM rec
+), rf AS (SELECT p.s1, p.cand, a.ad_empty AS ad_empty1, b.ad_empty AS ad_empty2, a.ntok AS ntok1, b.ntok AS ntok2, a.core_freq AS core_freq1, b.core_freq AS core_freq2, (a.core = b.core)::INTEGER AS core_eq, coalesce((a.fnum = b.fnum)::INTEGER, -1) AS fnum_eq, coalesce((a.zip = b.zip)::INTEGER, -1) AS zip_eq,
+    (p.cand LIKE 'S3-%')::INTEGER AS src3, round(jaro_winkler_similarity(a.core, b.core), 6) AS jw_core, round(p.sc / max(p.sc) OVER (PARTITION BY p.s1), 6) AS b_rel FROM pairs p JOIN rt a ON a.id = p.s1 JOIN rt b ON b.id = p.cand)
+SELECT * EXCLUDE (b_rel), (row_number() OVER (PARTITION BY s1 ORDER BY round(jw_core + 0.001 * b_rel, 9) DESC, cand) - 1)::INTEGER AS jw_rank, round(jw_core - max(jw_core) OVER (PARTITION BY s1), 6) AS jw_rel FROM rf"""),
+    "er_closure": sql("pairs", " SELECT s1, cand FROM pairs WHERE cand IN (SELECT cand FROM pairs WHERE right(s1, 1) = '5')"),
     "er_pair_context": sql("pairs", """, c0 AS (SELECT s1, cand, sc, count(*) OVER (PARTITION BY cand)::INTEGER AS cand_ns1, rank() OVER (PARTITION BY cand ORDER BY sc DESC)::INTEGER AS cand_rank, row_number() OVER (PARTITION BY cand ORDER BY sc DESC, s1) AS o,
   max(sc) OVER (PARTITION BY cand) AS m1, count(*) OVER (PARTITION BY s1)::INTEGER AS n_cand_s1, round(CASE WHEN max(sc) OVER (PARTITION BY s1) > 0 THEN sc / max(sc) OVER (PARTITION BY s1) ELSE 0.0 END, 6) AS b_rel FROM pairs
 ), c1 AS (SELECT *, max(CASE WHEN o = 2 THEN sc END) OVER (PARTITION BY cand) AS m2 FROM c0)

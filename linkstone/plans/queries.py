@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstone.functions.text import normalise
-from linkstone.operators import blocking, decide, features, metrics, model, pool, tables, tfidf, validate
+from linkstone.operators import blocking, decide, features, metrics, model, pool, ranker, tables, tfidf, validate
 from linkstone.plans.oracle import ORACLE_SQL  # noqa: F401
 from linkstone.plans.records import records
 from linkstone.sources.records import id_lists
@@ -120,6 +120,19 @@ def er_cand_competition(spark, sf_dir):
     return pool.build(_rec(spark, sf_dir)).select("s1", "cand", "c_nq", "c_rank", "c_gap")
 
 
+@query
+def er_ranker_features(spark, sf_dir):
+    rec = _rec(spark, sf_dir)
+    rows = features.context(_pairs(rec)).select("country", "s1", "cand", "b_rel")
+    return ranker.text_features(rows, rec).drop("country", "b_rel", "tset_core")
+
+
+@query
+def er_closure(spark, sf_dir):
+    rows = _pairs(_rec(spark, sf_dir))
+    return ranker.closure(rows, rows.where("right(s1, 1) = '5'")).select("s1", "cand")
+
+
 @query
 def er_pair_context(spark, sf_dir):
     return features.context(_pairs(_rec(spark, sf_dir))).select("s1", "cand", "b_rel", "n_cand_s1", "cand_ns1", "cand_rank", "cand_gap")

@@ -40,6 +40,23 @@ def read_fields(spark: SparkSession, path: str, columns: list[str], country: str
     return rows.select(*columns)
 
 
+def read_pool(spark: SparkSession, path: str, columns: list[str], queries: DataFrame | None = None, low: str | None = None, high: str | None = None) -> DataFrame:
+    """Pool pairs of a range of queries, and of those in ``queries`` (s1) if given; the range is pushed to the files."""
+    rows = spark.read.parquet(path)
+    if low is not None:
+        rows = rows.where(F.col("s1") >= low)
+    if high is not None:
+        rows = rows.where(F.col("s1") < high)
+    if queries is not None:
+        rows = rows.join(queries.select("s1"), "s1", "left_semi")
+    return rows.select(*columns)
+
+
+def corpus_sample(rec: DataFrame, fraction: float = 0.1, seed: int = 0) -> DataFrame:
+    """The same rows on every run: those whose id's hash falls in the fraction."""
+    return rec.where(F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(10_000)) < int(10_000 * fraction))
+
+
 def read_scores(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     """Score tables ``<prefix>_<number>.parquet`` only; other names with the prefix are left out."""
     return spark.read.option("pathGlobFilter", f"{prefix}_[0-9]*.parquet").option("recursiveFileLookup", "true").parquet(folder)
