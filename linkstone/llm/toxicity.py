@@ -6,11 +6,14 @@ own counts at the highest order; below it both share one set of backoff counts,
 counts of all documents (how many different bytes come before a shorter byte sequence), which grow
 with the corpus and smooth what the labelled rows show too seldom.  A word's evidence is the
 difference of its two log-likelihoods beyond ``margin``; the score of a text is that evidence per
-word, through a logistic curve fitted on labelled rows that were not counted.
+word, through a logistic curve fitted on labelled rows.
 
-The class counts come from a bounded sample: at most ``sample`` labelled rows of each class, those
-with the smallest hashes, and the ``max_grams`` most frequent byte sequences.  So the model that is
-sent to the executors is bounded by these two parameters.
+The class counts are of documents (a word counts once in each) and discounted by 1, 1.5 and 2 where
+they are 1, 2 and more, so what one document holds is no evidence.  They come from a bounded sample:
+at most ``sample`` labelled rows of each class, those with the smallest hashes, and the ``max_grams``
+most frequent byte sequences.  So the models that are sent to the executors are bounded by these
+two parameters.  The curve is fitted by cross-validation: the evidence of each of ``folds`` parts of
+the sample comes from the counts of the others.
 
 Defined results: a null or empty text, or one without words, has no evidence and gets the curve's
 value at 0; labels other than 0 and 1 are not used, a row labelled both ways counts for both;
@@ -62,6 +65,10 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
+    def scores(self, evidence: np.ndarray) -> np.ndarray:
+        """The curve, over the logarithm of the evidence."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(1000 * evidence) + self.offset, -800, 700)))
+
     def words(self, words: list[str]) -> np.ndarray:
         """Evidence of each word."""
         if not len(self.gram) or not words:
@@ -90,7 +97,7 @@ class Scorer:
         return np.array([sum(map(self.known.__getitem__, words)) / len(words) if words else 0.0 for words in found])
 
 
-def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discount: float = 0.75) -> Model:
+def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discounts: tuple[float, float, float] = (1.0, 1.5, 2.0), shared_discount: float = 0.75) -> Model:
     """Log ratios from columns gram, toxic, plain, cont, total, kinds.
 
     cont, total, kinds: the shared counts of the gram's backoff sequence: how many bytes precede it,
@@ -98,13 +105,14 @@ def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discount:
     """
     order_by = np.argsort(rows["gram"])
     gram, toxic, plain, cont, total, kinds = (np.asarray(rows[k])[order_by].astype(np.int64 if k == "gram" else float) for k in ("gram", "toxic", "plain", "cont", "total", "kinds"))
-    shared = (np.maximum(cont - discount, 0) + discount * kinds / 256) / np.maximum(total, 1)
+    shared = (np.maximum(cont - shared_discount, 0) + shared_discount * kinds / 256) / np.maximum(total, 1)
     history, of = np.unique(gram >> 8, return_inverse=True)
 
     def smoothed(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen, types = np.bincount(of, count), np.bincount(of, count > 0)
-        left = np.where(seen > 0, discount * types / np.maximum(seen, 1), 1.0)
-        return np.where(seen[of] > 0, np.maximum(count - discount, 0) / np.maximum(seen[of], 1), 0.0) + left[of] * shared, left
+        off = np.minimum(count, np.select([count >= 3, count == 2, count == 1], discounts[::-1], 0.0))
+        seen = np.bincount(of, count)
+        left = np.where(seen > 0, np.maximum(np.bincount(of, off) / np.maximum(seen, 1), 1e-3), 1.0)
+        return np.where(seen[of] > 0, (count - off) / np.maximum(seen[of], 1), 0.0) + left[of] * shared, left
 
     (p, p_left), (q, q_left) = smoothed(toxic), smoothed(plain)
     return Model(order, margin, gram, np.log(p / q), history, np.log(p_left / q_left))
@@ -132,26 +140,26 @@ def _class_sample(labels: DataFrame, sample: int) -> DataFrame:
     return first(0).unionByName(first(1))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: int = 4, margin: float = 2.0, max_grams: int = 1_000_000, calibration: float = 0.3) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: int = 5, margin: float = 3.0, max_grams: int = 1_000_000, folds: int = 4) -> Model:
     """Fit on ``labels`` (doc_id, label) of ``documents`` (doc_id, text); the backoff counts are of all documents."""
     # at most 2 * sample ids, so the broadcast is bounded
-    rows = stash(text_of(documents, "doc_id").join(F.broadcast(_class_sample(labels, sample)), "doc_id"), "toxic-sample")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) < F.lit(int(1000 * calibration))
+    rows = text_of(documents, "doc_id").join(F.broadcast(_class_sample(labels, sample)), "doc_id")
+    rows = stash(rows.select("text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).cast("int").alias("fold")), "toxic-sample")
+    sides = [f"{kind}{f}" for f in range(folds) for kind in ("plain", "toxic")]
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[label].update(_WORD.findall(text.lower()))
-            both = list(words[0].keys() | words[1].keys())
-            packed, word = grams(both, order)
+            words: list[Counter] = [Counter() for _ in sides]
+            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words[2 * fold + label].update(set(_WORD.findall(text.lower())))
+            every = list(set().union(*words))
+            packed, word = grams(every, order)
             gram, of = np.unique(packed, return_inverse=True)
-            sums = [np.bincount(of, np.array([c[w] for w in both], float)[word], len(gram)).astype(np.int64) for c in words]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(sums[1]), pa.array(sums[0])], names=["gram", "toxic", "plain"])
+            sums = [np.bincount(of, np.array([c[w] for w in every], float)[word], len(gram)).astype(np.int64) for c in words]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, sums)], names=["gram", *sides])
 
-    found = rows.where(~held).select("text", "label").mapInArrow(counted, "gram long, toxic long, plain long")
-    found = found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    found = stash(found.orderBy(F.desc(F.col("toxic") + F.col("plain")), "gram").limit(max_grams), "toxic-grams")
+    found = rows.mapInArrow(counted, "gram long, " + ", ".join(f"{s} long" for s in sides)).groupBy("gram").agg(*(F.sum(s).alias(s) for s in sides))
+    found = stash(found.orderBy(F.desc(sum(F.col(s) for s in sides)), "gram").limit(max_grams), "toxic-grams")
 
     def types(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros(0, np.int64)
@@ -169,22 +177,28 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: i
     sums = shared.groupBy(F.shiftright("back", 8).alias("past")).agg(F.sum("cont").alias("total"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("back", "cont")).alias("of"))
     shared = sums.select(F.inline("of"), "total", "kinds")
     # a row for each gram of the model at most, which max_grams bounds
-    joined = found.withColumn("back", F.expr(f"gram & {low}")).join(shared, "back").select("gram", "toxic", "plain", "cont", "total", "kinds").toPandas()
-    if not len(joined) or not joined["toxic"].any() or not joined["plain"].any():
+    joined = found.withColumn("back", F.expr(f"gram & {low}")).join(shared, "back").select("gram", *sides, "cont", "total", "kinds").toPandas()
+    columns = {c: joined[c].to_numpy() for c in joined.columns}
+
+    def ratios(left_out: int | None) -> Model:
+        both = {kind: sum((columns[f"{kind}{f}"] for f in range(folds) if f != left_out), np.zeros(len(joined), np.int64)) for kind in ("toxic", "plain")}
+        return fit_ratios(columns | both, order, margin)
+
+    if not len(joined) or not all(any(columns[f"{kind}{f}"].any() for f in range(folds)) for kind in ("toxic", "plain")):
         none = np.zeros(0)
         return Model(order, margin, none.astype(np.int64), none, none.astype(np.int64), none, 0.0, -800.0)
-    model = fit_ratios({c: joined[c].to_numpy() for c in joined.columns}, order, margin)
+    model = ratios(None)
+    others = documents.sparkSession.sparkContext.broadcast([ratios(f) for f in range(folds)])
 
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorers = [Scorer(m, 50_000) for m in others.value]
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scorer(batch.column(0).to_pylist()))], names=["label", "evidence"])
+            texts, folds_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(scorers[f]([t])[0]) for t, f in zip(texts, folds_, strict=True)])], names=["label", "evidence"])
 
-    check = rows.where(held).select("text", F.col("label").cast("int").alias("label")).mapInArrow(evidence, "label int, evidence double").toPandas()
-    if check["label"].nunique() == 2:
-        model.slope, model.offset = fit_curve(check["evidence"].to_numpy(), check["label"].to_numpy())
-    else:
-        model.slope, model.offset = 50.0, -1.0
+    # at most 2 * sample rows
+    check = rows.mapInArrow(evidence, "label int, evidence double").toPandas()
+    model.slope, model.offset = fit_curve(np.log1p(1000 * check["evidence"].to_numpy()), check["label"].to_numpy())
     return model
 
 
@@ -197,8 +211,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         scorer = Scorer(model)
         for batch in slices(batches, "text"):
             x = scorer(batch.column(1).to_pylist())
-            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -800, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(p)], names=[id_col, "evidence", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(model.scores(x))], names=[id_col, "evidence", "score"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     return text_of(documents, id_col, text=text_col).mapInArrow(run, f"{id_col} {kind}, evidence double, score double")
@@ -213,8 +226,7 @@ def tolerable(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
         scorer = Scorer(model)
         for batch in slices(batches, text_col):
             x = scorer([t or "" for t in batch.column(text_col).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -800, 700)))
-            yield batch.filter(pa.array(p < threshold))
+            yield batch.filter(pa.array(model.scores(x) < threshold))
 
     return df.mapInArrow(run, df.schema)
 
