@@ -6,12 +6,12 @@ on, each must have a common one among its first n - ceil(t n) + 1.  The order is
 hold a shingle (a fixed-size sketch over all texts), rarest first, so a passage that many texts
 share lies outside the prefixes of all but near copies.
 
-Where classes meet, links are sought in three steps, and each step leaves out what the ones before
-have put into one component, so a group of copies is never spread into its pairs:
-stars (each class against one class of a group, twice, by different orders of the classes), then
-for what is still apart the R-tree: count vectors of a group's classes are its points, node bounds
-by summed coordinate minima leave the pairs that can still be links, and those are verified on the
-whole sets.  Every link is thus either verified or inside a component found by verified links.
+Where classes meet, links are sought in steps, and each step leaves out what the ones before have
+put into one component, so a group of copies is never spread into its pairs.  The first is a star
+(each class against one class of its groups).  Then comes the R-tree: count vectors of a group's
+classes are its points, and node bounds by summed coordinate minima leave the pairs that can still
+be links.  In all but the last of ``rounds`` such steps each class takes its nearest by that bound
+only, in the last all that is left; pairs are verified on the whole sets.  Every link is thus either verified or inside a component found by verified links.
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and are linked with
 nothing; with fewer words than a shingle has, the whole sequence is the one shingle; repeated rows
@@ -35,7 +35,8 @@ from linkstone.llm.shingles import HASH_BITS, MAX_TEXTS, mix, shingle_sets
 
 #: The sketch of text frequencies: counters, and counters in a row of its table.
 _SKETCH_BITS, _CHUNK = 18, 4096
-_GROUPS = 64
+#: Groups of a count vector: in the tree, and where a single pair is looked at again.
+_GROUPS, _FINE = 128, 1024
 _BITS = np.uint64(HASH_BITS)
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 
@@ -89,7 +90,7 @@ def fingerprints(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, fp, n): the prefix of each set in the common order; equal sets of a task once."""
+    """(token, fp, n, rank): the prefix of each set in the common order; equal sets of a task once."""
     place = np.empty(len(sketch), np.uint64)
     place[np.argsort(sketch, kind="stable")] = np.arange(len(sketch), dtype=np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -113,48 +114,102 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
             rank = np.arange(len(key)) - (np.cumsum(kept) - kept)[owner]
             first = rank < (size - -(-percent * size // 100) + 1)[owner]
             owner = owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array((key[first] & _LOW).view(np.int64)), pa.array(prints[owner]), pa.array(size[owner].astype(np.int32))], names=["token", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((key[first] & _LOW).view(np.int64)), pa.array(prints[owner]), pa.array(size[owner].astype(np.int32)), pa.array(rank[first].astype(np.int32))], names=["token", "fp", "n", "rank"])
 
-    return docs.mapInArrow(run, "token long, fp long, n int")
+    return docs.mapInArrow(run, "token long, fp long, n int, rank int")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that more than one class has, once each."""
+def small_groups(start: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i before j, of the pairs in all groups of 2 to ``most`` rows, some groups at a time."""
+    for s in np.unique(size[(size > 1) & (size <= most)]).tolist():
+        i, j = np.triu_indices(s, 1)
+        base = start[size == s]
+        for k in range(0, len(base), max(1, 100_000 // len(i))):
+            part = base[k : k + max(1, 100_000 // len(i)), None]
+            yield (part + i).ravel(), (part + j).ravel()
+
+
+def meetings(rows: DataFrame, percent: int, most: int = 64) -> DataFrame:
+    """The rows of tokens that more than one class has, once each.
+
+    In a small group a row also needs a partner: of a size that allows a link, and such that from the
+    token on both sets have enough left (the pair's first common token is such a one).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = None, True  # the last row so far, and whether it has been given out
         for batch in batches:
-            token, fp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "fp", "n"))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "fp", "rank")]
             if last is not None:
-                token, fp, n = (np.concatenate([[x], column]) for x, column in zip(last, (token, fp, n), strict=True))
+                columns = [np.concatenate([[x], column]) for x, column in zip(last, columns, strict=True)]
+            token, n, fp, rank = columns
             if not len(token):
                 continue
             first = np.concatenate([[True], (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])])
-            token, fp, n = token[first], fp[first], n[first]
+            token, n, fp, rank = token[first], n[first], fp[first], rank[first]
             same = token[1:] == token[:-1]
             live = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             alone = not live[-1]
             if last is not None and given:
                 alone, live[0] = alone and len(token) > 1, False
-            last, given = (token[-1], fp[-1], n[-1]), not alone
+            last, given = (token[-1], n[-1], fp[-1], rank[-1]), not alone
+            start = np.flatnonzero(np.concatenate([[True], ~same]))
+            size = np.diff(np.append(start, len(token)))
+            inner = np.ones(len(size), bool)
+            inner[[0, -1]] = False  # groups that may go on outside this batch are kept
+            judged = np.repeat(inner & (size <= most), size)
+            partner = np.zeros(len(token), bool)
+            for i, j in small_groups(start[inner], size[inner], most):
+                least = count_tree.needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
+                fits = (percent * n[j].astype(np.int64) <= 100 * n[i].astype(np.int64)) & (n[i] - rank[i] >= least) & (n[j] - rank[j] >= least)
+                partner[i[fits]] = True
+                partner[j[fits]] = True
+            live &= partner | ~judged
             if live.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[live]), pa.array(fp[live]), pa.array(n[live].astype(np.int32))], names=["token", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[live]), pa.array(fp[live]), pa.array(n[live].astype(np.int32)), pa.array(rank[live].astype(np.int32))], names=["token", "fp", "n", "rank"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(run, "token long, fp long, n int")
+    return rows.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "token long, fp long, n int, rank int")
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, n, point, hashes) of texts: count vector and sorted hashes, as bytes."""
+    """(fp, n, point, fine, hashes) of texts: count vectors of few and of many groups, sorted hashes, as bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, key, size in _sets(batches, width):
             value, owner = key & _LOW, (key >> _BITS).astype(np.int64)
-            group = (mix(value) >> np.uint64(58)).astype(np.int64)
-            points = np.bincount(owner * _GROUPS + group, minlength=len(size) * _GROUPS).reshape(len(size), _GROUPS).astype(np.int32)
+            group = (mix(value) >> np.uint64(54)).astype(np.int64)
+            fine = np.bincount(owner * _FINE + group, minlength=len(size) * _FINE).reshape(len(size), _FINE)
+            points = fine.reshape(len(size), _GROUPS, _FINE // _GROUPS).sum(2)
             start = np.cumsum(size) - size
-            yield pa.RecordBatch.from_arrays([pa.array(_prints(key, size)), pa.array(size.astype(np.int32)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([value[s : s + n].tobytes() for s, n in zip(start, size, strict=True)], pa.binary())], names=["fp", "n", "point", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(_prints(key, size)), pa.array(size.astype(np.int32)), pa.array([_packed(p) for p in points], pa.binary()), pa.array([_packed(p) for p in fine], pa.binary()), pa.array([value[s : s + n].tobytes() for s, n in zip(start, size, strict=True)], pa.binary())], names=["fp", "n", "point", "fine", "hashes"])
+
+    return docs.mapInArrow(run, "fp long, n int, point binary, fine binary, hashes binary")
+
+
+def _packed(point: np.ndarray) -> bytes:
+    """A point's counts in as few bytes each as the largest needs."""
+    most = int(point.max())
+    return point.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
 
-    return docs.mapInArrow(run, "fp long, n int, point binary, hashes binary")
+def _points(column, groups: int = _GROUPS) -> np.ndarray:
+    kinds = {groups: np.uint8, 2 * groups: np.uint16, 4 * groups: np.uint32}
+    return np.stack([np.frombuffer(p, kinds[len(p)]) for p in column.to_pylist()]).astype(np.int32)
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose count vectors allow a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                left, right = _points(batch.column("left"), _FINE), _points(batch.column("right"), _FINE)
+                fits = np.minimum(left, right).sum(1) >= count_tree.needed(left.sum(1), right.sum(1), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    side = lambda key, name: sets.select(F.col("fp").alias(key), F.col("fine").alias(name)).hint("merge")
+    return pairs.select("a", "b").join(side("a", "left"), "a").join(side("b", "right"), "b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,36 +225,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    side = lambda key, name: sets.select(F.col("fp").alias(key), F.col("hashes").alias(name))
-    return pairs.select("a", "b").join(side("a", "left"), "a").join(side("b", "right"), "b").mapInArrow(run, "a long, b long")
+    # only the sets of pairs that their finer count vectors still allow travel; whether their ids do is for Spark to decide by the size of their table
+    pairs = stash(bounded(pairs, sets, percent), "asked")
+    asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked-sets")
+    needed = sets.select("fp", "hashes").join(asked, "fp", "left_semi")
+    side = lambda key, name: needed.select(F.col("fp").alias(key), F.col("hashes").alias(name)).hint("merge")
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").mapInArrow(run, "a long, b long")
 
 
 def _stars(live: DataFrame, seed: int, percent: int) -> DataFrame:
-    """One pair for each class: with the class that is first, by a seeded order, in one of its groups."""
+    """One pair for each class: with the class that is first, by a seeded order, in most of its groups."""
     rank = F.xxhash64("fp", F.lit(seed))
     first = stash(live.groupBy("token").agg(F.min(F.struct(rank.alias("r"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))).alias("hub")), "hubs")
     near = (percent * F.col("n") <= 100 * F.col("hub.m")) & (percent * F.col("hub.m") <= 100 * F.col("n")) & (F.col("root") != F.col("hub.other"))
-    found = live.join(first, "token").where(near)
-    return found.groupBy(F.col("fp").alias("a")).agg(F.min(F.struct("hub.r", "hub.b")).alias("h")).select("a", F.col("h.b").alias("b"))
+    found = live.join(first.hint("merge"), "token").where(near).groupBy(F.col("fp").alias("a"), F.col("hub.b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    return found.groupBy("a").agg(F.max(F.struct("met", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
 
 
 def _apart(live: DataFrame, label: DataFrame | None) -> DataFrame:
     """The rows with their component as root, of tokens where more than one component meets."""
+    live = live.drop("root")
     if label is None:
         return live.withColumn("root", F.col("fp"))
-    rooted = stash(live.join(label.withColumnRenamed("x", "fp").withColumnRenamed("root", "to"), "fp", "left").select("token", "fp", "n", F.coalesce("to", "fp").alias("root")), "rooted")
+    rooted = stash(live.join(label.withColumnRenamed("x", "fp").withColumnRenamed("root", "to").hint("merge"), "fp", "left").select("token", "fp", "n", "rank", F.coalesce("to", "fp").alias("root")), "rooted")
     open_ = stash(rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"), "open")
-    return stash(rooted.join(open_, "token"), "apart")
+    return stash(rooted.join(open_.hint("merge"), "token"), "apart")
 
 
-def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int, chunk: int = 4096) -> DataFrame:
+def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int, nearest: bool, chunk: int = 4096) -> DataFrame:
     """Distinct pairs (a, b) of classes of different components that meet in a token and that the tree leaves.
 
-    A large group is dealt into chunks, and each pair of chunks is a task's work of its own.
+    ``nearest``: of a class's pairs in a group only the one with the largest bound.  A large group is dealt into chunks, and each pair of chunks is a task's work of its own.
     """
-    parts = stash(apart.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts")), "parts")
-    points = apart.join(sets.select("fp", "point"), "fp")
-    dealt = stash(points, "points").join(parts, "token").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    parts = stash(apart.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts")).where("parts > 1"), "parts")
+    dealt = apart.join(sets.select("fp", "point").hint("merge"), "fp")
+    dealt = (dealt.withColumn("parts", F.lit(1)) if empty(parts) else dealt.join(parts.hint("merge"), "token", "left").fillna({"parts": 1})).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,59 +269,74 @@ def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int, chunk: int = 409
             key = np.stack([held.column(c).to_numpy() for c in ("token", "i", "j")], 1)
             change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             cut = int(change[-1]) if len(change) else 0
-            done, rest = held.slice(0, cut), held.slice(cut)
-            for part in np.split(np.arange(cut), change[:-1]) if cut else ():
-                yield from group(done.slice(int(part[0]), len(part)))
+            rest = held.slice(cut)
+            if cut:
+                yield from search(held.slice(0, cut), np.concatenate([[0], change[:-1]]))
         if rest is not None and rest.num_rows:
-            yield from group(rest)
+            yield from search(rest, np.zeros(1, np.int64))
 
-    def group(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        if part.num_rows < 2:
-            return
-        fp, n, root, own = (part.column(c).to_numpy() for c in ("fp", "n", "root", "own"))
-        points = np.frombuffer(b"".join(part.column("point").to_pylist()), np.int32).reshape(-1, _GROUPS)
+    def search(rows: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fp, n, left, root, own = (rows.column(c).to_numpy() for c in ("fp", "n", "rank", "root", "own"))
         n = n.astype(np.int64)
-        tree = count_tree.build(points, n)
-        cross = own.min() != own.max()
-        left, right = [], []
-        for k in range(len(fp)):
-            near = count_tree.search(tree, points[k], int(n[k]), percent)
-            near = near[(fp[near] > fp[k]) & (root[near] != root[k])]
-            if cross:
-                near = near[own[near] != own[k]]
-            left += [fp[k]] * len(near)
-            right += fp[near].tolist()
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    rows = dealt.select("token", "i", "j", "fp", "n", "root", "own", "point")
+        left, points = n - left, _points(rows.column("point"))
+        size = np.diff(np.append(start, len(fp)))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for i, j in small_groups(start, size, count_tree.FANOUT):  # one leaf
+            fits = np.minimum(points[i], points[j]).sum(1) >= count_tree.needed(n[i], n[j], percent)
+            found.append((i[fits], j[fits]))
+        for at, many in zip(start[size > count_tree.FANOUT].tolist(), size[size > count_tree.FANOUT].tolist(), strict=True):
+            tree = count_tree.build(points[at : at + many], n[at : at + many])
+            for k in range(many):
+                near = count_tree.search(tree, points[at + k], int(n[at + k]), percent)
+                found.append((np.full(len(near), at + k), near + at))
+            found = [tuple(np.concatenate(side) for side in zip(*found, strict=True))]
+        i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+        i, j = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
+        least = count_tree.needed(n[i], n[j], percent)
+        group = np.repeat(np.arange(len(size)), size)
+        cross = (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))[group[i]]
+        kept = (fp[i] != fp[j]) & (root[i] != root[j]) & (left[i] >= least) & (left[j] >= least) & (~cross | (own[i] != own[j]))
+        if nearest and kept.any():
+            at = np.flatnonzero(kept)
+            bound = np.concatenate([np.minimum(points[i[c]], points[j[c]]).sum(1) / least[c] for c in np.array_split(at, len(at) // 50_000 + 1)])
+            ends, pair = np.concatenate([i[at], j[at]]), np.concatenate([at, at])
+            order = np.lexsort((-np.concatenate([bound, bound]), ends))
+            first = np.concatenate([[True], ends[order][1:] != ends[order][:-1]])
+            kept = np.zeros(len(kept), bool)
+            kept[pair[order][first]] = True
+        if kept.any():
+            pairs = np.unique(np.stack([fp[i[kept]], fp[j[kept]]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = dealt.select("token", "i", "j", "fp", "n", "rank", "root", "own", "point")
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(id, n_shingles, component_id): set size of each text and the smallest id its links reach."""
     docs = text_of(df, F.col(id_col).cast("long").alias("id"), text=text_col)
     prints, sketch = fingerprints(docs, width)
     filled = prints.where("n > 0")
     classes = filled.groupBy("fp").agg(F.min("id").alias("first"))
-    live = stash(meetings(prefixes(docs, sketch, width, percent)), "meetings")
+    live = stash(meetings(prefixes(docs, sketch, width, percent), percent), "meetings")
     label = None
     if not empty(live):
         wanted = stash(classes.join(live.select("fp").distinct(), "fp").select(F.col("first").alias("id")), "wanted")
-        sets = stash(set_table(docs.join(wanted, "id", "left_semi"), width), "sets")
+        sets = stash(set_table(docs.join(wanted.hint("merge"), "id", "left_semi"), width), "sets")
         links = None
         apart = _apart(live, None)
-        for seed in (1, 2):
-            found = stash(verified(_stars(apart, seed, percent), sets, percent), "links")
+        for step in range(rounds + 1):
+            if step == 0:
+                pairs = _stars(apart, 1, percent)
+            else:
+                pairs = stash(tree_pairs(apart, sets, percent, nearest=step < rounds), "pairs")
+            found = stash(verified(pairs, sets, percent), "links")
             links = found if links is None else links.unionByName(found)
             label = components(links)
-            apart = _apart(live, label)
-            if empty(apart):
-                break
-        else:
-            pairs = stash(tree_pairs(apart, sets, percent), "pairs")
-            links = links.unionByName(stash(verified(pairs, sets, percent), "links"))
-            label = components(links)
+            if step < rounds:
+                apart = _apart(apart, label)
+                if empty(apart):
+                    break
     if label is None:
         rooted = classes.select("fp", "first", F.col("fp").alias("root"))
     else:

@@ -157,7 +157,7 @@ def test_tree_chunks(spark):
     sets = []
     for k in range(40):
         own = np.unique(np.concatenate([base[pick.permutation(60)[: 54 + k % 6]], pick.integers(0, 2**52, 1 + k % 3, dtype=np.uint64)]))
-        point = np.bincount((ngram_join.mix(own) >> np.uint64(57)).astype(int), minlength=128)
+        point = np.bincount((ngram_join.mix(own) >> np.uint64(57)).astype(int), minlength=ngram_join._GROUPS)
         sets.append((k, len(own), bytearray(ngram_join._packed(point)), bytearray(own.tobytes())))
     table = spark.createDataFrame(sets, "fp long, n int, point binary, hashes binary").persist()
     apart = table.select(F.lit(7).cast("long").alias("token"), "fp", "n", F.lit(0).alias("rank"), F.col("fp").alias("root")).persist()
