@@ -107,6 +107,10 @@ _lev = lambda a, b: f"round(CASE WHEN greatest(length({a}), length({b})) = 0 THE
 _fhalf = "CASE WHEN predicted = 0 AND gold = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * gold + predicted) END"
 _zips = lambda a: f"list_filter({a}, lambda x: length(x) IN (5, 6))"
 _legal = lambda a: f"list_filter(string_split({a}, ' '), lambda t: t IN ({words_sql(D.LEGAL)}))"
+_close = lambda t, o: f"CASE WHEN list_contains({o}, {t}) THEN 1.0 WHEN len(list_filter({o}, lambda o: length({t}) >= 4 AND length(o) >= 4 AND (left({t}, 3) = left(o, 3) OR right({t}, 3) = right(o, 3)) AND abs(length({t}) - length(o)) <= 2)) > 0 THEN 0.7 ELSE 0.0 END"
+_cover = lambda a, b: f"list_sum(list_transform({a}, lambda t: ({_close('t', b)})::DOUBLE)) / len({a})"
+_off = lambda a, b: f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: ({a}[i] <> {b}[i])::INTEGER))"
+_numsim = lambda a, b: f"(CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) = length({b}) THEN CASE WHEN {_off(a, b)} = 1 THEN 0.8 WHEN {_off(a, b)} = 2 AND length({a}) >= 4 THEN 0.4 ELSE 0.0 END WHEN least(length({a}), length({b})) >= 2 AND (starts_with({a}, {b}) OR starts_with({b}, {a}) OR ends_with({a}, {b}) OR ends_with({b}, {a})) THEN CASE WHEN abs(length({a}) - length({b})) = 1 THEN 0.7 ELSE 0.5 END ELSE 0.0 END)::DOUBLE"
 _ADDED = ", over_ AS (SELECT * FROM att WHERE least(len(list_distinct(core1)), len(list_distinct(core2))) > 0 AND len(list_intersect(list_distinct(core1), list_distinct(core2))) >= 0.99 * least(len(list_distinct(core1)), len(list_distinct(core2))))"
 
 
@@ -174,6 +178,11 @@ SELECT s1, cand, b_rel, n_cand_s1, cand_ns1, cand_rank, round(CASE WHEN cand_ns1
   {_flag(f"{_full(_zips('nums1'), _zips('nums2'))} AND {_inter(_zips('nums1'), _zips('nums2'))} = 0")} AS zip_conflict, len(nums1)::DOUBLE AS n_nums1, len(nums2)::DOUBLE AS n_nums2,
   round(CASE WHEN {_full('alph1', 'alph2')} THEN {_jac('alph1', 'alph2')} ELSE -1.0 END, 6) AS alph_jac, ({_dist('alph1')} + {_dist('nums1')})::DOUBLE AS addr_len1, ({_dist('alph2')} + {_dist('nums2')})::DOUBLE AS addr_len2,
   round(CASE WHEN len(alph2) > 0 THEN {_inter('alph1', 'alph2')}::DOUBLE / {_dist('alph2')} ELSE -1.0 END, 6) AS ad_cov2, round(CASE WHEN len(nums2) > 0 THEN {_inter('nums1', 'nums2')}::DOUBLE / {_dist('nums2')} ELSE -1.0 END, 6) AS num_cov2 FROM att"""),
+    "er_fuzzy_cover": sql("pairs", f""" SELECT s1, cand, round({_cover('list_distinct(core1)', 'core2')}, 6) AS tok_fuzzy_cov1, round({_cover('list_distinct(core2)', 'core1')}, 6) AS tok_fuzzy_cov2,
+  round(CASE WHEN {_full('alph1', 'alph2')} AND len(list_filter(alph1, lambda t: length(t) >= 3)) > 0 THEN {_cover('list_distinct(list_filter(alph1, lambda t: length(t) >= 3))', 'alph2')} ELSE -1.0 END, 6) AS alph_fuzzy_cov1,
+  CASE WHEN {_full('nums1', 'nums2')} THEN {_numsim('nums1[1]', 'nums2[1]')} ELSE -1.0::DOUBLE END AS first_num_sim,
+  CASE WHEN {_full('nums1', 'nums2')} THEN list_max(flatten(list_transform(nums1[1:4], lambda a: list_transform(nums2[1:4], lambda b: {_numsim('a', 'b')})))) ELSE -1.0::DOUBLE END AS best_num_sim,
+  CASE WHEN {_full('alph1', 'alph2')} THEN {_flag('list_has_any(alph1[-2:], alph2[-2:])')} ELSE -1.0::DOUBLE END AS last_alph_eq FROM att"""),
     "er_idf_mass": sql("pairs", f""", tdf AS (SELECT field, token, count(*) AS df FROM (SELECT 'core' AS field, unnest(list_distinct(core)) AS token FROM rec UNION ALL SELECT 'alph', unnest(list_distinct(alph)) FROM rec) GROUP BY ALL
 ), n AS (SELECT count(*)::DOUBLE AS n FROM rec), x AS (
   SELECT s1, cand, 'nm_sh' AS part, 'core' AS field, unnest(list_intersect(list_distinct(core1), list_distinct(core2))) AS token FROM att UNION ALL SELECT s1, cand, 'nm_un1', 'core', unnest({_except('core1', 'core2')}) FROM att
