@@ -82,7 +82,7 @@ def tables(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (products[0::2, :, None, :] + products[1::2, :, :, None]).reshape(len(centres) // 2, len(q), 256).astype(np.float32)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 200, sample: int = 16384, block: int = 16384, query_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 32768, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found, by Euclidean distance, of ``vectors`` (id, vector array<double>)."""
     some = F.exists("vector", lambda x: x != 0)
     rows = stash(vectors.where(valid(F.col("vector")) & some).select(F.col("id").cast("long").alias("id"), "vector", F.lit(0.0).alias("norm")), "ann-vectors")
@@ -94,13 +94,22 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
     centres = train(fitted, eta)
 
     def code(batches):
+        held, many = [], 0
         for batch in batches:
-            for k_ in range(0, batch.num_rows, block):
-                part = batch.slice(k_, block)
-                x = matrix(part.column("vector"), width)
-                codes = choose(x, centres, eta).astype(np.uint8)
-                packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(packed.T).tobytes()], pa.binary()), pa.array([(x * x).sum(1).tobytes()], pa.binary())], names=["ids", "codes", "squares"])
+            held.append(batch)
+            many += batch.num_rows
+            if many >= block:
+                yield packed(held)
+                held, many = [], 0
+        if many:
+            yield packed(held)
+
+    def packed(held):
+        part = pa.Table.from_batches(held).combine_chunks()
+        x = matrix(part.column("vector").combine_chunks(), width)
+        codes = choose(x, centres, eta).astype(np.uint8)
+        paired = codes[:, 0::2] | codes[:, 1::2] << 4
+        return pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([np.ascontiguousarray(paired.T).tobytes()], pa.binary()), pa.array([(x * x).sum(1).tobytes()], pa.binary())], names=["ids", "codes", "squares"])
 
     spread, n_candidates = numbered(rows, block, "part")
     index = spread.repartition(n_candidates, "part").select("id", "vector").mapInArrow(code, "ids binary, codes binary, squares binary").withColumn("cpart", F.pmod(F.spark_partition_id(), F.lit(n_candidates)))
