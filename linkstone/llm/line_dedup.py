@@ -11,7 +11,14 @@ Each task sends each different chunk once, with its first place, so a chunk that
 texts hold is no larger a group than any other.  Should two chunks with one digest differ in
 their bytes, all chunks of that digest stay.
 
-Defined results: a null text stays null; an empty text is one empty line; a text of one line is
+Boundaries are sparse, so chunks miss repeats that are short or lie across an edge.  With ``runs``
+(as the query and the pipeline have it) every window of two lines is compared instead, and a line
+goes when a window it is in has an earlier place, so every repeated run of two lines or more goes
+whole.  Windows that overlap the first place of their own lines do not count (of "a a a" nothing
+goes, of "a a a a" two lines).  Every line that goes stays at an earlier place; the first place of a
+run may itself lose lines to a still earlier run.  ``chunks_gone_`` counts the stretches removed.
+
+Defined results: rows with a null id are left as they are; a null text stays null; an empty text is one empty line; a text of one line is
 never changed; rows that repeat an id and text are all treated as that one; a text that is removed
 whole becomes empty, and its row stays; other columns are passed through.
 """
@@ -54,22 +61,29 @@ def chunks(text: str, window: int = 2, every: int = 3) -> list[list[str]]:
     return out
 
 
+def pairs(text: str) -> list[str]:
+    """Every two consecutive lines of a text."""
+    lines = text.split("\n")
+    return [f"{a}\n{b}" for a, b in zip(lines, lines[1:])]
+
+
 def digest(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode())
 
 
-def removals(docs: DataFrame, window: int, every: int) -> DataFrame:
-    """(id, gone array<struct<place int, digest binary>>): the chunks to remove from each text."""
+def removals(docs: DataFrame, window: int, every: int, runs: bool = False) -> DataFrame:
+    """(id, gone array<struct<place int, digest binary>>): the chunks (with ``runs``: pairs of lines) to remove from each text."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, places, texts = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, chunk in enumerate(chunks(text, window, every)):
-                    if len(chunk) > 1:
+                whole = pairs(text) if runs else ["\n".join(c) if len(c) > 1 else None for c in chunks(text, window, every)]
+                for place, chunk in enumerate(whole):
+                    if chunk is not None:
                         ids.append(key)
                         places.append(place)
-                        texts.append("\n".join(chunk))
+                        texts.append(chunk)
             yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts], pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["digest", "id", "place", "chunk"])
 
     found = docs.where("text IS NOT NULL").mapInArrow(cut, "digest binary, id long, place int, chunk string")
@@ -78,13 +92,15 @@ def removals(docs: DataFrame, window: int, every: int) -> DataFrame:
     groups = by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("copies").alias("copies"))
     groups = stash(groups.where("texts = 1 AND copies > 1").select("digest", "first"), "repeated")
     places = stash(found.select("digest", "id", "place"), "chunks")
-    gone = places.join(groups, "digest").where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
+    # a pair one line after the first shares a line with it
+    own = F.col("first.place") + 1 if runs else F.col("first.place")
+    gone = places.join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("place") < F.col("first.place")) | (F.col("place") > own))
     return stash(gone.groupBy("id").agg(F.collect_set(F.struct("place", "digest")).alias("gone")), "removals")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, every: int = 3) -> DataFrame:
-    """``df`` with the repeated chunks out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long) in place of columns of these names."""
-    gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every)
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, every: int = 3, runs: bool = False) -> DataFrame:
+    """``df`` with the repeated chunks (with ``runs``: all repeated runs of lines) out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long) in place of columns of these names."""
+    gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every, runs)
     df = df.drop("lines_before_", "lines_gone_", "chunks_gone_")
     key, marked = fresh(df, "key_", "gone_")
     # a sorted join at every size: the list of removals grows with the texts
@@ -99,7 +115,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wind
             for text, places in zip(batch.column(text_col).to_pylist(), batch.column(marked).to_pylist(), strict=True):
                 n_lines = n_parts = 0
                 before.append(0 if text is None else text.count("\n") + 1)
-                if places:
+                if places and runs:
+                    known = {p["place"]: p["digest"] for p in places}
+                    all_lines, out = (text or "").split("\n"), set()
+                    for place, pair in enumerate(pairs(text or "")):
+                        if place in known and digest(pair) == known[place]:
+                            out |= {place, place + 1}
+                    n_lines, n_parts = len(out), sum(k - 1 not in out for k in out)
+                    text = "\n".join(line for k, line in enumerate(all_lines) if k not in out)
+                elif places:
                     known = {p["place"]: p["digest"] for p in places}
                     stay = []
                     for place, chunk in enumerate(chunks(text or "", window, every)):
@@ -120,6 +144,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wind
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks another document, or an earlier place, has."""
-    done = dedup(table(spark, sf_dir, "documents"))
+    """Every document without the runs of lines another document, or an earlier place, has."""
+    done = dedup(table(spark, sf_dir, "documents"), runs=True)
     return done.select("doc_id", F.col("lines_before_").alias("n_lines"), F.col("lines_gone_").alias("n_removed_lines"), F.col("chunks_gone_").alias("n_removed_chunks"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

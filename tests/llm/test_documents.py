@@ -230,6 +230,31 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_runs(spark):
+    """Every line of a repeated run of two or more goes, short runs and lone edges too; a single repeated line stays."""
+    texts = {1: "p\nq\nr\ns", 2: "x1\np\nq\nx2", 3: "y1\nr\ns", 4: "q\nr", 5: "z1\nq\nz2", 6: "a\na\na", 7: "a\na", 8: "b\nb\nb\nb", 9: None, 10: "", 11: "x2\nw1\np\nq\nr\ns"}
+    docs = spark.createDataFrame([*texts.items(), (None, "p\nq\nown")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["lines_gone_"], r["chunks_gone_"]) for r in line_dedup.dedup(docs, runs=True).collect()}
+    # the row without an id comes first and keeps its lines
+    assert got == {None: ("p\nq\nown", 0, 0), 1: ("r\ns", 2, 1), 2: ("x1\nx2", 2, 1), 3: ("y1", 2, 1), 4: ("", 2, 1), 5: ("z1\nq\nz2", 0, 0), 6: ("a\na\na", 0, 0), 7: ("", 2, 1), 8: ("b\nb", 2, 1), 9: (None, 0, 0), 10: ("", 0, 0), 11: ("x2\nw1", 4, 1)}
+
+
+def test_line_runs_of_table(spark):
+    """The query against all pairs of lines of the table, in order."""
+    place = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{place}/documents.parquet").select("doc_id", "text").collect()
+    first, want = {}, {}
+    for key, text in sorted(rows):
+        lines, out = (text or "").split("\n"), set()
+        for k in range(len(lines) - 1):
+            d, p = first.setdefault((lines[k], lines[k + 1]), (key, k))
+            if d != key or k > p + 1:
+                out |= {k, k + 1}
+        want[key] = (len(out), hashlib.sha256("\n".join(x for k, x in enumerate(lines) if k not in out).encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_removed_lines"], r["kept_sha256"]) for r in line_dedup.op1_line_dedup(spark, place).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 0
+
+
 def test_line_chunks_are_shift_resistant():
     pick = random.Random(1)
     lines = [f"line {pick.random()}" for _ in range(200)]
