@@ -7,8 +7,12 @@ tables: a query's products with the centres, two codes to a table of 256 entries
 the code bytes, and with the vector's exact squared length they give the distance in rank.  The
 ``rerank`` best of each query are measured exactly on the original vectors.
 
+Equal vectors are indexed once, with the k + 1 smallest of their ids, so copies take one place among
+the ``rerank`` best however many there are, and all the ids an exact answer can need come with it.
+Where approximate distances are equal at the cut the smaller ids stay.
+
 Centres are fitted on a sample of at most ``sample`` vectors (those with the smallest hashes); every
-vector is indexed and scanned for every query.
+distinct vector is indexed and scanned for every query.
 
 Defined results: vectors that are null, zero or have null or non-finite components take no part;
 shorter vectors count as filled with zeros; equal distances go to the smaller id; rows that repeat
@@ -82,11 +86,43 @@ def tables(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (products[0::2, :, None, :] + products[1::2, :, :, None]).reshape(len(centres) // 2, len(q), 256).astype(np.float32)
 
 
+def distinct(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """(id, vector, norm, ids): each vector once, filled to ``width``, with the ``most`` smallest of its ids and the first of them as its own."""
+    padded = rows.select("id", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector"))).alias("vector"))
+
+    def fewer(batches):
+        # of each batch only the smallest ids of a vector are sent: a large group is no large group then
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            x = np.ascontiguousarray(matrix(batch.column("vector"), width) + 0.0)  # -0.0 is 0.0
+            _, kind = np.unique(x.view(np.dtype((np.void, x.itemsize * width))).ravel(), return_inverse=True)
+            order = np.lexsort((ids, kind))
+            kind, sorted_ids = kind[order], ids[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (sorted_ids[1:] != sorted_ids[:-1])
+            order, kind = order[new], kind[new]
+            place = np.arange(len(kind)) - np.searchsorted(kind, kind)
+            yield batch.take(pa.array(order[place < most]))
+
+    some = padded.mapInArrow(fewer, padded.schema)
+    held = some.groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("id")), 1, most).alias("ids"))
+    return stash(held.select(F.col("ids")[0].alias("id"), "vector", F.lit(0.0).alias("norm"), "ids"), "ann-distinct")
+
+
+def smallest(near: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n): the places of the n smallest of each row, of equal ones the first."""
+    cut = np.partition(near, n - 1, axis=1)[:, n - 1 : n]
+    below, level = near < cut, near == cut
+    room = n - below.sum(1, keepdims=True)
+    return np.nonzero(below | (level & (level.cumsum(1) <= room)))[1].reshape(len(near), n)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 32768, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found, by Euclidean distance, of ``vectors`` (id, vector array<double>)."""
     some = F.exists("vector", lambda x: x != 0)
     rows = stash(vectors.where(valid(F.col("vector")) & some).select(F.col("id").cast("long").alias("id"), "vector", F.lit(0.0).alias("norm")), "ann-vectors")
     width = -(-max(1, width_of(rows, "vector")) // 4) * 4
+    apart = distinct(rows, width, k + 1)
     # at most ``sample`` vectors, whatever the table's size
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column(0).combine_chunks()
     fitted = matrix(taken, width) if len(taken) else np.zeros((1, width))
@@ -105,13 +141,13 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
             yield packed(held)
 
     def packed(held):
-        part = pa.Table.from_batches(held).combine_chunks()
+        part = pa.Table.from_batches(held).sort_by("id").combine_chunks()
         x = matrix(part.column("vector").combine_chunks(), width)
         codes = choose(x, centres, eta).astype(np.uint8)
         paired = codes[:, 0::2] | codes[:, 1::2] << 4
         return pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([np.ascontiguousarray(paired.T).tobytes()], pa.binary()), pa.array([(x * x).sum(1).tobytes()], pa.binary())], names=["ids", "codes", "squares"])
 
-    spread, n_candidates = numbered(rows, block, "part")
+    spread, n_candidates = numbered(apart, block, "part")
     index = spread.repartition(n_candidates, "part").select("id", "vector").mapInArrow(code, "ids binary, codes binary, squares binary").withColumn("cpart", F.pmod(F.spark_partition_id(), F.lit(n_candidates)))
     asked, n_queries = numbered(rows.where(is_query), query_block, "part")
     queries = blocks(asked.repartition(n_queries, "part"), width, query_block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata")).withColumn("qpart", F.pmod(F.spark_partition_id(), F.lit(n_queries)))
@@ -127,20 +163,20 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
             for byte in range(len(codes)):
                 total += lookup[byte][:, codes[byte]]
             near = squares[None, :] - 2.0 * total
-            near[qids[start : start + 64, None] == ids[None, :]] = np.inf
-            n = min(rerank, len(ids))
-            at = np.argpartition(near, n - 1, axis=1)[:, :n]
+            at = smallest(near, min(rerank + 1, len(ids)))  # the query's own vector is one of them
             value = np.take_along_axis(near, at, 1)
-            kept = np.isfinite(value)
             for out, part in zip(found, (np.broadcast_to(qids[start : start + 64, None], at.shape), ids[at], value), strict=True):
-                out.append(part[kept])
+                out.append(part.ravel())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], schema=_FOUND) if len(q) else pa.RecordBatch.from_pylist([], schema=_FOUND)
 
     scanned = against(queries, n_queries, index, n_candidates, kernel, "query_id long, vec_id long, near double")
-    chosen = best(scanned, rerank, F.asc("near"), F.asc("vec_id")).select("query_id", "vec_id")
-    near = chosen.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("x")), "vec_id").join(rows.where(is_query).select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-    measured = near.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda s, y: s + y)).alias("score"))
-    return best(measured, k, F.asc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
+    chosen = best(scanned, rerank + 1, F.asc("near"), F.asc("vec_id")).select("query_id", "vec_id")
+    near = chosen.join(apart.select(F.col("id").alias("vec_id"), F.col("vector").alias("x"), "ids"), "vec_id").join(rows.where(is_query).select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
+    others = near.withColumn("ids", F.filter("ids", lambda i: i != F.col("query_id"))).where(F.size("ids") > 0)
+    measured = others.select("query_id", "ids", F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda s, y: s + y)).alias("score"))
+    # k vectors have k ids or more
+    each = best(measured, k, F.asc("score"), F.asc(F.col("ids")[0])).select("query_id", "score", F.explode("ids").alias("vec_id"))
+    return best(each, k, F.asc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

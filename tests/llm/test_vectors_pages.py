@@ -82,6 +82,22 @@ def test_ann_recall_on_table(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_ann_large_groups_of_copies(spark):
+    """Far more copies than are reranked, in and beside the query's own group, never push out nearer vectors or smaller ids."""
+    pick = np.random.default_rng(8)
+    single = [(k, [float(v) for v in row]) for k, row in enumerate(pick.normal(size=(300, 12)))]
+    near = lambda row, n: [float(v) for v in np.array(row) + pick.normal(size=12) * n]
+    rows = single + [(2000 - k, single[0][1]) for k in range(900)] + [(300 + 3 * k, near(single[10][1], 0.02)) for k in range(4)]
+    copied = near(single[10][1], 0.05)
+    rows += [(5000 - k, copied) for k in range(900)] + [(6000, [*single[20][1][:11], 0.0]), (6001, single[20][1][:11])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    want = _nearest(rows, lambda q: q in (0, 10, 20, 6000), 10)
+    got = {q: [] for q in want}
+    for r in ann.search(df, F.col("id").isin(0, 10, 20, 6000), 10, rerank=60, block=256, query_block=32).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[0] == list(range(1101, 1111)) and got[10] == [i for _, i in want[10]] and got[6000][0] == 6001 and len(got[20]) == 10
+
+
 def test_ann_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [3.0, 4.0])], "id long, vector array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("id") == 0, 10).collect()] == [(0, 100)]
