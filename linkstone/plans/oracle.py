@@ -229,6 +229,7 @@ SELECT q_country AS country, CASE WHEN c_country <> q_country THEN 'not_in_count
     "er_expansion_sweep": sql("pool", ", o AS (SELECT s1, cand, CASE WHEN from_exp = 1 THEN row_number() OVER (PARTITION BY s1, from_exp ORDER BY esc DESC, cand) ELSE 0 END AS pl FROM pool), k AS (SELECT unnest([0, 1, 2, 3, 5]) AS added) SELECT added::INTEGER AS added, count(gold.cand) AS found FROM o JOIN k ON pl <= added LEFT JOIN gold ON gold.s1 = o.s1 AND gold.cand = o.cand GROUP BY added"),
     "er_new_pairs_anti": sql("pairs", " SELECT s1, cand FROM pairs WHERE NOT (brank < 4)"),
     "er_uncertain_cascade": sql("pairs", " SELECT s1, cand, p, round(least(p, 1 - p), 6) AS uncertainty FROM p WHERE round(least(p, 1 - p), 6) > 0.2 ORDER BY uncertainty DESC, s1, cand LIMIT 500"),
+    "er_uncertain_pairs": sql("pairs", " SELECT s1, cand, p, round(least(p, 1 - p), 6) AS uncertainty FROM p WHERE round(least(p, 1 - p), 6) > 0.002"),
     "er_unseen_rescale": sql("pairs", " SELECT s1, cand, round(CASE WHEN country IN ('en', 'de', 'es') THEN p ELSE least(p * 0.65 / 0.7875, 0.999) END, 6) AS p FROM p"),
     "er_output_lists": sql("pairs", ", pr AS (SELECT s1, cand FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM p WHERE p >= 0.65) WHERE r = 1) SELECT q.s1, coalesce((SELECT string_agg(cand, ',' ORDER BY cand) FROM pr WHERE pr.s1 = q.s1), '') AS ids FROM queries q"),
     "er_validate_output": sql("pairs", """, l AS (SELECT s1, list_sort(list(cand)) AS ids FROM pairs WHERE brank < 3 AND right(s1, 1) <> '7' GROUP BY s1 UNION ALL SELECT s1, [s1, 'X9', min(cand), min(cand)] FROM pairs WHERE right(s1, 1) = '3' GROUP BY s1

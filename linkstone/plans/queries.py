@@ -320,6 +320,12 @@ def er_uncertain_cascade(spark, sf_dir):
     return decide.uncertain(_scored(_rec(spark, sf_dir)), 0.2, 500).select("s1", "cand", "p", "uncertainty")
 
 
+@query
+def er_uncertain_pairs(spark, sf_dir):
+    """All pairs for a larger model: the reference's band and no limit."""
+    return decide.uncertain(_scored(_rec(spark, sf_dir))).select("s1", "cand", "p", "uncertainty")
+
+
 @query
 def er_unseen_rescale(spark, sf_dir):
     rows = _scored(_rec(spark, sf_dir))

@@ -67,6 +67,17 @@ def test_decisions(spark):
     assert [round(r["ce"], 6) for r in decide.blend(means, ["a", "b", "c"], 0.5).collect()] == [0.3, 0.9]
 
 
+def test_uncertain(spark):
+    """Band 0.002 and no limit unless asked for; the query has pairs beyond a band of 0.2 and more than 500."""
+    scored = spark.createDataFrame([("A", f"c{k}", p) for k, p in enumerate([0.001, 0.003, 0.1, 0.5, 0.6, 0.9, 0.997, 0.999])], "s1 string, cand string, p double")
+    assert sorted(r["p"] for r in decide.uncertain(scored).collect()) == [0.003, 0.1, 0.5, 0.6, 0.9, 0.997]
+    assert [r["p"] for r in decide.uncertain(scored, limit=2).orderBy("p").collect()] == [0.5, 0.6]
+    n, wide = QUERIES["er_uncertain_pairs"](spark, "/root/testdata/sf0.01").agg(F.count(F.lit(1)), F.count(F.when(F.col("uncertainty") <= 0.2, 1))).first()
+    spark.catalog.clearCache()
+    print("pairs", n, "of them at most 0.2", wide)
+    assert n > 500 and wide > 0
+
+
 def test_f_half(spark):
     pred = spark.createDataFrame([("A", "a"), ("A", "b"), ("A", "c"), ("C", "x")], "s1 string, cand string")
     gold = spark.createDataFrame([("A", "a"), ("A", "c"), ("D", "y")], "s1 string, cand string")
