@@ -85,6 +85,14 @@ def test_stages(spark, planted):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(texts)
 
 
+def test_near_copies_keep_rows_without_id(spark):
+    text = " ".join(f"word{n}" for n in range(60))
+    rows = [(1, text), (2, text), (None, text), (None, "another clean text of some words"), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_dup"](spark, docs, "").collect()]
+    assert sorted(left, key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+
+
 def test_run(spark, planted):
     assert corpus_pipeline.run(spark, planted[0]).count() > 50
     assert corpus_pipeline.ORACLE_SQL is None
