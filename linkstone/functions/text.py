@@ -30,8 +30,8 @@ def _class(places) -> str:
 
 
 _SYLLABLE = re.compile(
-    f"(?P<c>{_class(D.LETTERS['consonant'])}){_class([D.NUKTA])}?(?:(?P<bare>{_class([D.VIRAMA])})|(?P<sign>{_class(D.LETTERS['sign'])})|(?P<more>(?=[ऀ-ൿ])))?"
-    f"|(?P<v>{_class(D.LETTERS['vowel'])})|(?P<s>{_class(D.LETTERS['sign'])})|(?P<m>{_class(D.LETTERS['mark'])})|(?P<n>{_class(range(0x66, 0x70))})|(?P<x>[ऀ-ൿ])"
+    f"(?P<c>{_class(D.CONSONANTS)}){_class([D.NUKTA])}?(?:(?P<bare>{_class([D.VIRAMA])})|(?P<sign>{_class(D.VOWEL_SIGNS)})|(?P<more>(?=[ऀ-ൿ])))?"
+    f"|(?P<v>{_class(D.VOWELS)})|(?P<s>{_class(D.VOWEL_SIGNS)})|(?P<m>{_class(D.MARKS)})|(?P<n>{_class(range(0x66, 0x70))})|(?P<x>[ऀ-ൿ])"
 )
 
 
@@ -40,15 +40,15 @@ def romanise(word: str) -> str:
 
     def latin(found: re.Match) -> str:
         if found["c"]:
-            sound = D.LETTERS["consonant"][_place(found["c"])]
+            sound = D.CONSONANTS[_place(found["c"])]
             if found["bare"]:
                 return sound
             if found["sign"]:
-                return sound + D.LETTERS["sign"][_place(found["sign"])]
+                return sound + D.VOWEL_SIGNS[_place(found["sign"])]
             return sound + ("a" if found["more"] is not None else "")
-        for group, kind in (("v", "vowel"), ("s", "sign"), ("m", "mark")):
+        for group, letters in (("v", D.VOWELS), ("s", D.VOWEL_SIGNS), ("m", D.MARKS)):
             if found[group]:
-                return D.LETTERS[kind][_place(found[group])]
+                return letters[_place(found[group])]
         return str(_place(found["n"]) - 0x66) if found["n"] else ""
 
     return _SYLLABLE.sub(latin, word)
@@ -99,7 +99,7 @@ def normalise_name(df: DataFrame, column: str, token_map: dict[str, str] | None
     for old, new in (("&", " and "), ("+", " and "), ("m/s", " "), ("@", " at ")):
         out = out.withColumn("_s", F.replace("_s", F.lit(old), F.lit(new)))
     digits = "length(regexp_replace(t, '[^0-9]', ''))"
-    leet = f"CASE WHEN NOT t RLIKE '^[0-9]+$' AND NOT t RLIKE r'^\\p{{L}}+$' AND {digits} <= 2 AND length(t) - {digits} >= 3 THEN translate(t, '{D.LEET[0]}', '{D.LEET[1]}') ELSE t END"
+    leet = f"CASE WHEN NOT t RLIKE '^[0-9]+$' AND NOT t RLIKE r'^\\p{{L}}+$' AND {digits} <= 2 AND length(t) - {digits} >= 3 THEN translate(t, '{"".join(D.LEET)}', '{"".join(D.LEET.values())}') ELSE t END"
     out = out.withColumn("_t", F.expr(f"transform({_tokens('_s')}, t -> {leet})"))
     out = out.withColumn("_t", F.expr(f"transform(_t, t -> coalesce(try_element_at({map_sql(D.LEGAL_FORMS)}, t), t))"))
     out = out.withColumn("_k", F.expr(f"array_position(transform(_t, t -> t IN ({words_sql(D.HONORIFIC)})), false)"))

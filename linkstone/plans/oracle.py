@@ -20,7 +20,7 @@ NAMES = f"""
 n1 AS (SELECT *, regexp_matches(lower(business_name), '{D.SECOND_NAME}')::TINYINT AS has_dba,
          {_SPLIT("replace(replace(replace(replace(lower(business_name), '&', ' and '), '+', ' and '), 'm/s', ' '), '@', ' at ')")} AS tk FROM records
 ), n2 AS (SELECT * EXCLUDE (tk), list_transform(tk, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]+') AND NOT regexp_full_match(t, '[a-z]+') AND {_DIGITS} <= 2 AND length(t) - {_DIGITS} >= 3
-           THEN translate(t, '{D.LEET[0]}', '{D.LEET[1]}') ELSE t END) AS tk FROM n1
+           THEN translate(t, '{"".join(D.LEET)}', '{"".join(D.LEET.values())}') ELSE t END) AS tk FROM n1
 ), n3 AS (SELECT * EXCLUDE (tk), list_transform(tk, lambda t: {_case('t', D.LEGAL_FORMS)}) AS tk FROM n2
 ), n4 AS (SELECT * EXCLUDE (tk), tk[coalesce(nullif(list_position(list_transform(tk, lambda t: t IN ({words_sql(D.HONORIFIC)})), false), 0), len(tk)):] AS tk FROM n3
 ), n5 AS (SELECT *, list_filter(tk, lambda t: t NOT IN ({words_sql(D.LEGAL)}) AND t NOT IN ({words_sql(D.NAME_STOP)}) AND NOT (regexp_full_match(t, '[0-9]+') AND length(t) >= 4)) AS c0,
