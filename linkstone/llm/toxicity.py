@@ -2,18 +2,22 @@
 
 The models are over the bytes of words (``order`` bytes; words are padded at the front, and their
 end is a symbol too), so a rare form of a toxic expression is known by its stem.  Each class has its
-own counts at the highest order; below it both share one set of backoff counts, the continuation
-counts of all documents (how many different bytes come before a shorter byte sequence), which grow
-with the corpus and smooth what the labelled rows show too seldom.  A word's evidence is the
-difference of its two log-likelihoods beyond ``margin``; the score of a text is that evidence per
-word, through a logistic curve fitted on labelled rows.
+own counts at the highest order; below it both share the backoff distributions, recursively from
+``order`` - 1 bytes down to none: at each order the continuation counts of all documents (how many
+different bytes come before a shorter byte sequence), which grow with the corpus and smooth what the
+labelled rows show too seldom.
+
+A text's score compares its two log-likelihoods, normalised by its length in words: the mean over
+its words of log toxic - log ordinary likelihood, each word's difference shrunk towards 0 by
+``margin`` (words that speak for either class count for it, the noise of all others does not add
+up over a long text), through a logistic curve fitted on labelled rows.
 
 The class counts are of documents (a word counts once in each) and discounted by 1, 1.5 and 2 where
 they are 1, 2 and more, so what one document holds is no evidence.  They come from a bounded sample:
-at most ``sample`` labelled rows of each class, those with the smallest hashes, and the ``max_grams``
-most frequent byte sequences.  So the models that are sent to the executors are bounded by these
-two parameters.  The curve is fitted by cross-validation: the evidence of each of ``folds`` parts of
-the sample comes from the counts of the others.
+at most ``sample`` labelled rows of each class, those with the smallest hashes; the model that is sent
+to the executors has the byte sequences of these rows, all of them.  The curve is fitted by
+cross-validation: the evidence of each of ``folds`` parts of the sample comes from the counts of the
+others.
 
 Defined results: a null or empty text, or one without words, has no evidence and gets the curve's
 value at 0; labels other than 0 and 1 are not used, a row labelled both ways counts for both;
@@ -54,6 +58,11 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[whole], np.repeat(np.arange(len(words)), sizes)[whole]
 
 
+def spread(evidence: np.ndarray) -> np.ndarray:
+    """The logarithm of the evidence, to either side of 0."""
+    return np.sign(evidence) * np.log1p(1000 * np.abs(evidence))
+
+
 @dataclass
 class Model:
     order: int
@@ -67,10 +76,10 @@ class Model:
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         """The curve, over the logarithm of the evidence."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(1000 * evidence) + self.offset, -800, 700)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * spread(evidence) + self.offset, -800, 700)))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Evidence of each word."""
+        """Evidence of each word: the difference of its log-likelihoods, shrunk by the margin."""
         if not len(self.gram) or not words:
             return np.zeros(len(words))
         packed, word = grams(words, self.order)
@@ -78,7 +87,8 @@ class Model:
         past = packed >> 8
         back = np.minimum(np.searchsorted(self.history, past), len(self.history) - 1)
         part = np.where(self.gram[at] == packed, self.ratio[at], np.where(self.history[back] == past, self.backoff[back], 0.0))
-        return np.maximum(np.bincount(word, part, len(words)) - self.margin, 0.0)
+        ratio = np.bincount(word, part, len(words))
+        return np.sign(ratio) * np.maximum(np.abs(ratio) - self.margin, 0.0)
 
 
 class Scorer:
@@ -97,15 +107,34 @@ class Scorer:
         return np.array([sum(map(self.known.__getitem__, words)) / len(words) if words else 0.0 for words in found])
 
 
-def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discounts: tuple[float, float, float] = (1.0, 1.5, 2.0), shared_discount: float = 0.75) -> Model:
-    """Log ratios from columns gram, toxic, plain, cont, total, kinds.
+def backoff(types: DataFrame, order: int, discount: float = 0.75) -> DataFrame:
+    """(back, shared): the shared distribution of ``order`` - 1 bytes, for every sequence that ``types`` (gram, distinct) ends in.
 
-    cont, total, kinds: the shared counts of the gram's backoff sequence: how many bytes precede it,
-    the sum of that over its siblings, and how many siblings there are.
+    At each order the continuation counts, discounted and interpolated with the next lower order;
+    below one byte all 256 are alike.
     """
+    levels = [types]
+    for width in range(order - 1, 0, -1):
+        column = "gram" if width == order - 1 else "back"
+        levels.append(levels[-1].groupBy(F.expr(f"{column} & {(1 << 8 * width) - 1}").alias("back")).agg(F.count(F.lit(1)).alias("cont")))
+        if width == order - 1:  # the lower orders follow from this table, not from the texts
+            levels[-1] = stash(levels[-1], "toxic-types")
+    lower = None
+    for width in range(1, order):
+        sums = levels[order - width].groupBy(F.shiftright("back", 8).alias("past")).agg(F.sum("cont").alias("total"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("back", "cont")).alias("of"))
+        rows = sums.select(F.inline("of"), "total", "kinds")  # 256 of a kind at most
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("end", F.expr(f"back & {(1 << 8 * (width - 1)) - 1}")).join(lower.withColumnsRenamed({"back": "end", "shared": "below"}), "end")
+        lower = rows.select("back", ((F.greatest(F.col("cont") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("below")) / F.col("total")).alias("shared"))
+    return lower
+
+
+def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discounts: tuple[float, float, float] = (1.0, 1.5, 2.0)) -> Model:
+    """Log ratios from columns gram, toxic, plain (the class counts) and shared (probability of the gram's last byte after the others but the first)."""
     order_by = np.argsort(rows["gram"])
-    gram, toxic, plain, cont, total, kinds = (np.asarray(rows[k])[order_by].astype(np.int64 if k == "gram" else float) for k in ("gram", "toxic", "plain", "cont", "total", "kinds"))
-    shared = (np.maximum(cont - shared_discount, 0) + shared_discount * kinds / 256) / np.maximum(total, 1)
+    gram, toxic, plain, shared = (np.asarray(rows[k])[order_by].astype(np.int64 if k == "gram" else float) for k in ("gram", "toxic", "plain", "shared"))
     history, of = np.unique(gram >> 8, return_inverse=True)
 
     def smoothed(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +149,7 @@ def fit_ratios(rows: dict[str, np.ndarray], order: int, margin: float, discounts
 
 def fit_curve(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, both classes weighing the same; Newton's method with a weak prior."""
-    scale = float(evidence.max()) or 1.0
+    scale = float(np.abs(evidence).max()) or 1.0
     x = np.column_stack([evidence / scale, np.ones(len(evidence))])
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
     w = np.zeros(2)
@@ -140,7 +169,7 @@ def _class_sample(labels: DataFrame, sample: int) -> DataFrame:
     return first(0).unionByName(first(1))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: int = 5, margin: float = 3.0, max_grams: int = 1_000_000, folds: int = 4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: int = 5, margin: float = 3.0, folds: int = 4) -> Model:
     """Fit on ``labels`` (doc_id, label) of ``documents`` (doc_id, text); the backoff counts are of all documents."""
     # at most 2 * sample ids, so the broadcast is bounded
     rows = text_of(documents, "doc_id").join(F.broadcast(_class_sample(labels, sample)), "doc_id")
@@ -159,7 +188,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: i
             yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, sums)], names=["gram", *sides])
 
     found = rows.mapInArrow(counted, "gram long, " + ", ".join(f"{s} long" for s in sides)).groupBy("gram").agg(*(F.sum(s).alias(s) for s in sides))
-    found = stash(found.orderBy(F.desc(sum(F.col(s) for s in sides)), "gram").limit(max_grams), "toxic-grams")
+    found = stash(found, "toxic-grams")
 
     def types(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros(0, np.int64)
@@ -173,11 +202,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: i
 
     low = (1 << (8 * (order - 1))) - 1
     every = text_of(documents).mapInArrow(types, "gram long").distinct()
-    shared = every.groupBy(F.expr(f"gram & {low}").alias("back")).agg(F.count(F.lit(1)).alias("cont"))
-    sums = shared.groupBy(F.shiftright("back", 8).alias("past")).agg(F.sum("cont").alias("total"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("back", "cont")).alias("of"))
-    shared = sums.select(F.inline("of"), "total", "kinds")
-    # a row for each gram of the model at most, which max_grams bounds
-    joined = found.withColumn("back", F.expr(f"gram & {low}")).join(shared, "back").select("gram", *sides, "cont", "total", "kinds").toPandas()
+    # a row for each byte sequence of the sample's words
+    joined = found.withColumn("back", F.expr(f"gram & {low}")).join(backoff(every, order), "back").select("gram", *sides, "shared").toPandas()
     columns = {c: joined[c].to_numpy() for c in joined.columns}
 
     def ratios(left_out: int | None) -> Model:
@@ -198,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = 4000, order: i
 
     # at most 2 * sample rows
     check = rows.mapInArrow(evidence, "label int, evidence double").toPandas()
-    model.slope, model.offset = fit_curve(np.log1p(1000 * check["evidence"].to_numpy()), check["label"].to_numpy())
+    model.slope, model.offset = fit_curve(spread(check["evidence"].to_numpy()), check["label"].to_numpy())
     return model
 
 

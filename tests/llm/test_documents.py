@@ -287,6 +287,41 @@ def test_toxicity(spark):
     assert sum(hit) >= 0.9 * len(hit) and sum(false) <= 0.01 * len(false) and len(hit) > 30
 
 
+def test_toxicity_ratios(spark):
+    """The model's log ratios against Kneser-Ney probabilities counted one by one."""
+    texts = ["bad awful cat", "awful badly", "bad bad", "good cat sat", "goodly cats", "a sad cat", "sat", "und\u00e9 bad cab", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, label int")
+    order, model = 3, toxicity.fit(docs, labels, order=3, margin=0.0)
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    cut = lambda w: [(b"\x02" * (order - 1) + w.encode() + b"\x03")[k : k + order] for k in range(len(w.encode()) + 1)]
+    types = {order: {g for t in texts for w in words(t) for g in cut(w)}}
+    for n in range(order - 1, 0, -1):
+        types[n] = {g[1:] for g in types[n + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        cont = {x: sum(y[1:] == x for y in types[len(g) + 1]) for x in types[len(g)] if x[:-1] == g[:-1]}
+        return (max(cont.get(g, 0) - 0.75, 0) + 0.75 * len(cont) * shared(g[1:])) / sum(cont.values())
+
+    def likelihood(g, kind):
+        count = [x for k, t in enumerate(texts[:6]) if (k < 3) == kind for w in words(t) for x in cut(w) if x[:-1] == g[:-1]]
+        if not count:
+            return shared(g[1:])
+        off = {x: min(count.count(x), {1: 1.0, 2: 1.5}.get(count.count(x), 2.0)) for x in set(count)}
+        left = max(sum(off.values()) / len(count), 1e-3)
+        return (count.count(g) - off.get(g, 0)) / len(count) + left * shared(g[1:])
+
+    for word in ("bad", "awful", "cat", "good", "sat", "cab", "badly"):
+        want = sum(np.log(likelihood(g, True) / likelihood(g, False)) for g in cut(word))
+        assert model.words([word])[0] == pytest.approx(want, abs=1e-9), word
+    shrunk = toxicity.fit(docs, labels, order=3, margin=0.5)
+    raw = model.words(["bad", "good", "zzz"])
+    assert shrunk.words(["bad", "good", "zzz"]) == pytest.approx(np.sign(raw) * np.maximum(np.abs(raw) - 0.5, 0))
+    assert raw[0] > 0 > raw[1]
+
+
 def test_toxicity_edges(spark, none):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([None, "", "!!", "bad awful word", "nice day"] + ["nice calm day"] * 30 + ["bad awful thing"] * 30)], "doc_id long, text string, score string")
     labels = docs.select("doc_id", F.when(F.col("text").contains("bad"), 1).when(F.col("text").contains("nice"), 0).alias("label"))
@@ -295,6 +330,9 @@ def test_toxicity_edges(spark, none):
     assert got[0] == got[1] == got[2] < 0.5 and got[3] > 0.5 > got[4]
     assert toxicity.score(none, model).count() == 0
     assert "bad awful word" not in {r["text"] for r in toxicity.tolerable(docs, model).collect()}
+    long = spark.createDataFrame([(1, "bad awful thing " * 200_000, "x"), (1, "nice day", "y"), (1, "nice day", "y")], "doc_id long, text string, evidence string")
+    again = sorted((r["doc_id"], r["score"]) for r in toxicity.score(long, model).collect())
+    assert len(again) == 3 and again[0] == again[1] and again[2][1] > 0.5
     unlabelled = toxicity.fit(docs, labels.where("label = 0"))
     assert {r["score"] for r in toxicity.score(docs, unlabelled).collect()} == {0.0}
 
