@@ -76,7 +76,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     start = ends[text] - sizes[text]
     left, right = np.minimum(at - start, wide - 1), np.minimum(ends[text] - at - gram, wide - 1)
     low, high = at - left, at + gram + right
-    context = mix((upto[high] - upto[low]) * inverse[low] + (left * 4096 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    context = mix((upto[high] - upto[low]) * inverse[low] + (left * wide + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return text, at - start, grams[at].view(np.int64), context.view(np.int64), left, right
 
 
@@ -187,7 +187,7 @@ def repeated_strings(rows: DataFrame, length: int, gram: int, batch_bytes: int =
         prefix = adjacent_prefixes(data, order, length)
         row = np.repeat(np.arange(len(rows)), sizes)[order]
         place, whole = place[order], wanted[order]
-        key = np.cumsum(prefix < length)[whole] * 4096 + place[whole]
+        key = np.cumsum(prefix < length)[whole] * (side + 1) + place[whole]
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         again = count[which] > 1
         row, place = row[whole][again], place[whole][again]
@@ -250,10 +250,12 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 256, most: int = 204
     return whole, stash(placed.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "by-text")
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 256, most: int = 2048, as_text: bool = False) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, gram: int = 256, most: int = 2048, as_text: bool = False, least_words: int = 0) -> DataFrame:
     """``df`` with kept_ (binary, the bytes that stay), n_bytes_, n_removed_, n_spans_ (long).
 
     Columns of these names are replaced.  ``as_text``: kept_ is a string; of a character of which only some bytes stay, none do.
+    ``least_words``: a run of repeated bytes with fewer words (at ASCII white space) stays, unless it
+    has 20 bytes for each of the words asked for, as in scripts without spaces.
     """
     docs = text_of(df, F.col(id_col).cast("long").alias("id"), text=text_col)
     whole, spans = repeats(docs, length, gram, most)
@@ -279,6 +281,8 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
                             runs[-1] = (runs[-1][0], max(high, runs[-1][1]))
                         else:
                             runs.append((low, high))
+                if least_words:
+                    runs = [(low, high) for low, high in runs if high - low >= 20 * least_words or len(raw[low:high].split()) >= least_words]
                 parts, at = [], 0
                 for low, high in runs:
                     parts.append(raw[at:low])

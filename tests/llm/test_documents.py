@@ -194,6 +194,55 @@ def test_suffix_dedup(docs, none, rows, length, gram, most):
     assert suffix_dedup.remove(none).count() == 0
 
 
+def test_suffix_dedup_places_do_not_collide(spark):
+    """Strings much longer than their anchors: places and lengths of a context stay apart."""
+    pick = random.Random(8)
+    shared = "".join(chr(pick.randrange(97, 123)) for _ in range(6100))
+    rows = [(1, "x" + shared + "yy"), (2, "zzz" + shared), (3, shared[:5999] + "!"), (4, shared[100:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw, gone = _repeats(rows, 6000)
+    for r in suffix_dedup.remove(docs, length=6000, gram=64).collect():
+        assert bytes(r["kept_"]) == np.frombuffer(raw[r["doc_id"]], np.uint8)[~gone[r["doc_id"]]].tobytes()
+
+
+def test_suffix_dedup_of_table(spark):
+    """The query against all 400-byte strings of the table."""
+    place = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{place}/documents.parquet").collect()}
+    once, again = set(), set()
+    for data in texts.values():
+        for s in range(len(data) - 399):
+            h = hash(data[s : s + 400])
+            (again if h in once else once).add(h)
+    touched = 0
+    for r in suffix_dedup.op7_suffix_dedup(spark, place).collect():
+        data = texts[r["doc_id"]]
+        edge = np.zeros(len(data) + 1, int)
+        for s in range(len(data) - 399):
+            if hash(data[s : s + 400]) in again:
+                edge[s] += 1
+                edge[s + 400] -= 1
+        gone = np.cumsum(edge)[: len(data)] > 0
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        touched += bool(gone.any())
+    assert touched > 100
+
+
+def test_suffix_dedup_least_words(spark):
+    """Runs of fewer words stay; runs long enough for a script without spaces go."""
+    pick = random.Random(4)
+    words = [f"w{n}" for n in range(5000)]
+    prose = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    few, many, solid = " ".join("longword%d" % pick.randrange(10**6) for _ in range(40)), prose(60), "".join(chr(0x4E00 + pick.randrange(9000)) for _ in range(400))
+    rows = [(k, f"{prose(30)} {x} {prose(30)}") for k, x in enumerate([few, few, many, many, solid, solid])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_"] for r in suffix_dedup.remove(docs, length=200, gram=96, as_text=True, least_words=50).collect()}
+    assert all(got[k] == rows[k][1] for k in (0, 1))
+    assert all(many not in got[k] and len(got[k]) < len(rows[k][1]) for k in (2, 3)) and all(solid not in got[k] for k in (4, 5))
+
+
 @pytest.mark.parametrize("data", [b"", b"a", b"banana", b"aaaaaaaa", b"mississippi" * 3, bytes(range(256)) * 2, "éàé".encode() * 9])
 def test_suffix_sort(data):
     order = suffix_sort.two_stage(data, len(data) + 1)
