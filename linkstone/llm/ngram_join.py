@@ -15,8 +15,8 @@ only, in the last all that is left; pairs are verified on the whole sets.  Every
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and are linked with
 nothing; with fewer words than a shingle has, the whole sequence is the one shingle; repeated rows
-and ties make no difference; other columns are passed over.  Shingles are compared by 52-bit hashes,
-classes by 64 bits.
+and ties make no difference; other columns are passed over.  Words are hashed by XXH3 and shingles
+compared by 52 bits of the mixed hashes; sets are equal by two fingerprints of 64 bits each.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from linkstone.llm.shingles import HASH_BITS, MAX_TEXTS, mix, shingle_sets
 _SKETCH_BITS, _CHUNK = 18, 4096
 #: Groups of a count vector: in the tree, and where a single pair is looked at again.
 _GROUPS, _FINE = 128, 1024
+#: First fingerprints that different sets may share; at 10^11 sets some hundreds are to be expected.
+_MOST_CLASHES = 10_000
 _BITS = np.uint64(HASH_BITS)
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 
@@ -49,31 +51,46 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield batch, *shingle_sets(texts, width)
 
 
-def _prints(key: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Order-independent fingerprint of each set."""
+def _prints(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-independent fingerprints of each set."""
     start = np.cumsum(size) - size
-    sums = np.zeros(len(size), np.uint64)
     has = size > 0
-    if has.any():
-        sums[has] = np.add.reduceat(mix((key & _LOW) + np.uint64(1)), start[has])
-    return mix(sums ^ size.astype(np.uint64)).view(np.int64)
+    out = []
+    for salt in (1, 0x9E3779B97F4A7C15):
+        sums = np.zeros(len(size), np.uint64)
+        if has.any():
+            sums[has] = np.add.reduceat(mix((key & _LOW) + np.uint64(salt)), start[has])
+        out.append(mix(sums ^ size.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
-def fingerprints(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, fp) of each text, and the sketch: texts per shingle hash, by the hash's low bits."""
+def _classes(key: np.ndarray, size: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """The class of each set: its first fingerprint, or a mix of both where different sets share the first."""
+    fp, other = _prints(key, size)
+    return np.where(np.isin(fp, clash), _mixed(fp, other), fp)
+
+
+def _mixed(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix(fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + other.view(np.uint64)).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(id, n, fp) of each text, the sketch (texts per shingle hash, by the hash's low bits), and the first fingerprints that different sets share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "fp", "chunk", "counts"]
+        names = ["id", "n", "fp", "other", "mixed", "chunk", "counts"]
         sketch = np.zeros(1 << _SKETCH_BITS, np.int64)
         for batch, key, size in _sets(batches, width):
             sketch += np.bincount((key & np.uint64((1 << _SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array(_prints(key, size)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            fp, other = _prints(key, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array(fp), pa.array(other), pa.array(_mixed(fp, other)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         chunks = len(sketch) // _CHUNK
         parts = [sketch[k * _CHUNK : (k + 1) * _CHUNK].astype(np.int32).tobytes() for k in range(chunks)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.int32()), pa.nulls(chunks, pa.int64()), pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        longs = [pa.nulls(chunks, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.int32()), *longs, pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    both = stash(docs.mapInArrow(run, "id long, n int, fp long, chunk int, counts binary"), "fingerprints")
+    both = stash(docs.mapInArrow(run, "id long, n int, fp long, other long, mixed long, chunk int, counts binary"), "fingerprints")
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -86,10 +103,18 @@ def fingerprints(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     total = np.zeros(1 << _SKETCH_BITS, np.int64)
     for chunk, counts in both.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk int, counts binary").collect():
         total[chunk * _CHUNK : (chunk + 1) * _CHUNK] += np.frombuffer(counts, np.int64)
-    return both.where("chunk IS NULL").select("id", "n", "fp"), total
-
-
-def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
+    prints = both.where("chunk IS NULL")
+    # about n * n / 2^65 of n different sets
+    shared = prints.groupBy("fp").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("fp")
+    clash = np.array([r[0] for r in shared.limit(_MOST_CLASHES + 1).collect()], np.int64)
+    if len(clash) > _MOST_CLASHES:
+        raise ValueError("too many different sets share a fingerprint")
+    if len(clash):
+        prints = prints.withColumn("fp", F.when(F.col("fp").isin(clash.tolist()), F.col("mixed")).otherwise(F.col("fp")))
+    return prints.select("id", "n", "fp"), total, clash
+
+
+def prefixes(docs: DataFrame, sketch: np.ndarray, clash: np.ndarray, width: int, percent: int) -> DataFrame:
     """(token, fp, n, rank): the prefix of each set in the common order; equal sets of a task once."""
     place = np.empty(len(sketch), np.uint64)
     place[np.argsort(sketch, kind="stable")] = np.arange(len(sketch), dtype=np.uint64)
@@ -98,7 +123,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = shared.value, set()
         for _, key, size in _sets(batches, width):
-            prints = _prints(key, size)
+            prints = _classes(key, size, clash)
             new = np.zeros(len(size), bool)
             for k, fp in enumerate(prints.tolist()):
                 if size[k] and fp not in seen:
@@ -171,7 +196,7 @@ def meetings(rows: DataFrame, percent: int, most: int = 64) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "token long, fp long, n int, rank int")
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
+def set_table(docs: DataFrame, clash: np.ndarray, width: int) -> DataFrame:
     """(fp, n, point, fine, hashes) of texts: count vectors of few and of many groups, sorted hashes, as bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +206,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             fine = np.bincount(owner * _FINE + group, minlength=len(size) * _FINE).reshape(len(size), _FINE)
             points = fine.reshape(len(size), _GROUPS, _FINE // _GROUPS).sum(2)
             start = np.cumsum(size) - size
-            yield pa.RecordBatch.from_arrays([pa.array(_prints(key, size)), pa.array(size.astype(np.int32)), pa.array([_packed(p) for p in points], pa.binary()), pa.array([_packed(p) for p in fine], pa.binary()), pa.array([value[s : s + n].tobytes() for s, n in zip(start, size, strict=True)], pa.binary())], names=["fp", "n", "point", "fine", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(key, size, clash)), pa.array(size.astype(np.int32)), pa.array([_packed(p) for p in points], pa.binary()), pa.array([_packed(p) for p in fine], pa.binary()), pa.array([value[s : s + n].tobytes() for s, n in zip(start, size, strict=True)], pa.binary())], names=["fp", "n", "point", "fine", "hashes"])
 
     return docs.mapInArrow(run, "fp long, n int, point binary, fine binary, hashes binary")
 
@@ -315,14 +340,14 @@ def tree_pairs(apart: DataFrame, sets: DataFrame, percent: int, nearest: bool, c
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(id, n_shingles, component_id): set size of each text and the smallest id its links reach."""
     docs = text_of(df, F.col(id_col).cast("long").alias("id"), text=text_col)
-    prints, sketch = fingerprints(docs, width)
+    prints, sketch, clash = fingerprints(docs, width)
     filled = prints.where("n > 0")
     classes = filled.groupBy("fp").agg(F.min("id").alias("first"))
-    live = stash(meetings(prefixes(docs, sketch, width, percent), percent), "meetings")
+    live = stash(meetings(prefixes(docs, sketch, clash, width, percent), percent), "meetings")
     label = None
     if not empty(live):
         wanted = stash(classes.join(live.select("fp").distinct(), "fp").select(F.col("first").alias("id")), "wanted")
-        sets = stash(set_table(docs.join(wanted.hint("merge"), "id", "left_semi"), width), "sets")
+        sets = stash(set_table(docs.join(wanted.hint("merge"), "id", "left_semi"), clash, width), "sets")
         links = None
         apart = _apart(live, None)
         for step in range(rounds + 1):

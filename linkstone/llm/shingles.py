@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import xxhash
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -27,19 +30,26 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+class _Hashes(dict):
+    """Hash of each word met, ``most`` of them at most."""
+
+    most = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_known = _Hashes()
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (lower case A-Z, split at ASCII white space) and the words before each text."""
-    flat = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    space = (flat == 32) | ((flat >= 9) & (flat <= 13))
-    edge = np.diff(space.view(np.int8), prepend=1)
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    lower = flat + ((flat >= 65) & (flat <= 90)).astype(np.uint8) * np.uint8(32)
-    power, inverse = _tables(len(flat) + 1)
-    upto = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], out=upto[1:])
-    words = mix((upto[end] - upto[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _M3)
-    return words, np.searchsorted(begin, starts)
+    words = [t.lower().split() for t in texts]
+    before = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    return np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), np.uint64, int(before[-1])), before
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -150,6 +150,35 @@ def test_ngram_join(docs, none, rows, rounds):
     assert ngram_join.similar(none).count() == 0
 
 
+def test_ngram_join_words_of_one_polynomial(spark):
+    """Two long words that polynomial hashes modulo 2^64 cannot tell apart."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{thue} b c d e"), (2, f"{thue.translate(str.maketrans('ab', 'ba'))} b c d e"), (3, thue)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar(docs).collect()} == {1: (1, 1), 2: (1, 2), 3: (1, 3)}
+
+
+def test_ngram_join_shared_fingerprints(docs, rows, monkeypatch):
+    """Different sets with one first fingerprint stay different classes."""
+    plain, mixed = ngram_join._prints, ngram_join._mixed
+
+    def few(key, size):
+        fp, other = plain(key, size)
+        return fp % 5, other
+
+    def classes(key, size, clash):
+        fp, other = few(key, size)
+        return np.where(np.isin(fp, clash), mixed(fp, other), fp)
+
+    monkeypatch.setattr(ngram_join, "_prints", few)
+    monkeypatch.setattr(ngram_join, "_classes", classes)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar(docs).collect()}
+    sets = _sets(rows)
+    want = _components(sets)
+    assert got == {k: (len(sets[k]), want[k]) for k in sets}
+
+
 def test_tree_chunks(spark):
     """Pairs of a group that is dealt in chunks are the pairs of the whole group."""
     pick = np.random.default_rng(2)
