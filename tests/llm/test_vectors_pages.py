@@ -1,6 +1,7 @@
 """Operators over embeddings and pages against brute-force versions, with edge cases."""
 
 import base64
+import gzip
 import hashlib
 import math
 import time
@@ -194,9 +195,11 @@ def test_warc(spark, tmp_path, least):
     rows = [(5, "http://www.Example.com/a?b=1#c", "<p>one two three four five</p>"), (2, "https://example.com:8080/z", "<p>one two three four five</p>"), (9, None, None), (10, "bad url\r\nX: y", ""), (11, "http://a.org/", long), (12, "http://a.org/", long), (13, "http://a.org/", long + "y"), (14, "http://b.org", "tiny"), (15, "http://b.org", "tiny")]
     df = spark.createDataFrame([(*r, b"clash") for r in rows], "page_id long, url string, html string, payload binary").repartition(2)
     archive, index = str(tmp_path / "archive"), str(tmp_path / "index")
-    warc.write_archive(df, archive, min_bytes=least)
-    directory = warc.write_index(spark, archive, index, block_lines=2)
-    got = {r["page_id"]: r for r in warc.read_archive(spark, archive, index, directory).collect()}
+    warc.write_archive(df, archive, min_bytes=least, chunk_bytes=300, per_file=2)
+    warc.write_index(spark, archive, index, block_lines=2)
+    all_rows = warc.lookup(spark, index, df.select("url")).collect()
+    got = {r["page_id"]: r for r in all_rows}
+    assert len(all_rows) == len(rows)
     first = {}
     for key, _, page in sorted(rows, key=lambda r: r[0]):
         first.setdefault(page or "", key)
@@ -207,16 +210,46 @@ def test_warc(spark, tmp_path, least):
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if response else "revisit", None if response else first[page or ""])
         assert (bytes(r["payload"]) if response else r["payload"]) == (raw if response else None)
     assert len(got) == len(rows)
-    assert {r["page_id"] for r in warc.lookup(spark, directory, ["http://a.org/"])} == {11, 12, 13}
-    assert warc.lookup(spark, directory, ["http://nowhere.org/"]) == []
-    assert directory.count() >= 3
+    asked = lambda *urls: sorted(r["page_id"] for r in warc.lookup(spark, index, spark.createDataFrame([(u,) for u in urls], "url string"), payload=False).collect())
+    assert asked("http://a.org/") == [11, 12, 13] and asked("http://nowhere.org/", "http://zzz.zz/", "") == [9]
+    assert asked("https://www.a.org/", "http://b.org", "bad url\r\nX: y") == [10, 11, 12, 13, 14, 15]
+    blocks = [b for file, size in warc._paths(spark, index).collect() for b in warc._directory(warc.Files(), file, size)]
+    assert len(blocks) >= 5 and all(a <= b for a, b, *_ in blocks)
+
+
+def test_warc_hot_key_and_repeated_ids(spark, tmp_path):
+    """One URL on many pages, over many blocks; rows that repeat an id are kept each."""
+    rows = [(k, "http://hot.org/x", f"page {k % 50}") for k in range(300)] + [(7, "http://hot.org/x", "page 7"), (8, "http://other.org/", "other")]
+    none = [(None, "http://hot.org/x", "page 1"), (None, None, None)]
+    df = spark.createDataFrame(rows + none, "page_id long, url string, html string").repartition(3)
+    warc.write_archive(df, str(tmp_path / "a"), chunk_bytes=2000, per_file=3)
+    warc.write_index(spark, str(tmp_path / "a"), str(tmp_path / "i"), block_lines=8)
+    found = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.lookup(spark, str(tmp_path / "i"), df.select("url")).collect()]
+    assert [r for r in found if r[0] is None] == [(None, "response", None)] * 2
+    got = sorted(r for r in found if r[0] is not None)
+    first = {}
+    for k, _, html in sorted(rows):
+        first.setdefault(html, k)
+    assert got == sorted((k, "response" if first[h] == k else "revisit", None if first[h] == k else first[h]) for k, _, h in rows)
+
+
+def test_warc_members_by_pieces(tmp_path):
+    contents = [b"", b"a" * 5000, b"xyz", bytes(range(256)) * 40]
+    packed = [gzip.compress(c, mtime=0) for c in contents]
+    (tmp_path / "f").write_bytes(packed[0] + packed[1] + b"\0" + packed[2] + b"\0\0" + packed[3] + b"\0")
+    for piece in (1, 7, 64, 1 << 20):
+        found = list(warc.members(warc.Files(), str(tmp_path / "f"), piece))
+        assert [c for _, _, c in found] == contents and [n for _, n, _ in found] == [len(p) for p in packed]
+    (tmp_path / "f").write_bytes(packed[3][:-9])
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(warc.Files(), str(tmp_path / "f")))
 
 
 def test_warc_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path / "a"))
-    directory = warc.write_index(spark, str(tmp_path / "a"), str(tmp_path / "i"))
-    assert warc.read_archive(spark, str(tmp_path / "a"), str(tmp_path / "i"), directory).count() == 0
+    warc.write_index(spark, str(tmp_path / "a"), str(tmp_path / "i"))
+    assert warc.lookup(spark, str(tmp_path / "i"), df.select("url")).count() == 0
 
 
 def test_url_keys():
