@@ -217,7 +217,8 @@ def write_index(spark: SparkSession, archive: str, index: str, *, block_lines: i
             yield row(f"{at:020d}{len(directory):020d}".encode())
 
     spread = _paths(spark, archive).select("file")
-    found = spread.repartition("file").mapInArrow(captures, "key string, page_id long, file string, at long, length long")
+    # a number given: by the few bytes of their names the files would all be dealt to one task
+    found = spread.repartition(max(1, spread.count()), "file").mapInArrow(captures, "key string, page_id long, file string, at long, length long")
     ordered = found.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     _write_rows(ordered.mapInArrow(blocks, "row binary"), index)
 
@@ -308,7 +309,8 @@ def fetch(captures: DataFrame, *, payload: bool = True, most: int = 8 << 20) ->
         files.close()
 
     kinds = {"int64": "long", "string": "string", "binary": "binary"}
-    dealt = captures.select("file", "at", "length").repartition("file", F.floor(F.col("at") / F.lit(most))).sortWithinPartitions("file", "at")
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // most))
+    dealt = captures.select("file", "at", "length").repartition(tasks, "file", F.floor(F.col("at") / F.lit(most))).sortWithinPartitions("file", "at")
     return dealt.mapInArrow(run, ", ".join(f"{name} {kinds[str(kind)]}" for name, kind in zip(schema.names, schema.types, strict=True)))
 
 
@@ -324,7 +326,7 @@ def keys_of(urls: DataFrame) -> DataFrame:
 
 def lookup(spark: SparkSession, index: str, urls: DataFrame, *, payload: bool = True) -> DataFrame:
     """The records of all captures of the URLs in ``urls`` (url)."""
-    return fetch(find(spark, index, keys_of(urls)), payload=payload)
+    return fetch(stash(find(spark, index, keys_of(urls)), "captures"), payload=payload)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
