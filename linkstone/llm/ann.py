@@ -16,7 +16,8 @@ distinct vector is indexed and scanned for every query.
 
 Defined results: vectors that are null, zero or have null or non-finite components take no part;
 shorter vectors count as filled with zeros; equal distances go to the smaller id; rows that repeat
-an id are never candidates for that id's query; with fewer candidates than k all are returned.
+an id are never candidates for that id's query, which is asked with the smallest of their vectors,
+and count once as candidates, by the nearest of them; with fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -149,33 +150,48 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
 
     spread, n_candidates = numbered(apart, block, "part")
     index = spread.repartition(n_candidates, "part").select("id", "vector").mapInArrow(code, "ids binary, codes binary, squares binary").withColumn("cpart", F.pmod(F.spark_partition_id(), F.lit(n_candidates)))
-    asked, n_queries = numbered(rows.where(is_query), query_block, "part")
-    queries = blocks(asked.repartition(n_queries, "part"), width, query_block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata")).withColumn("qpart", F.pmod(F.spark_partition_id(), F.lit(n_queries)))
+    questions = stash(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"), F.first("norm").alias("norm")), "ann-asked")
+    asked, n_queries = numbered(questions, query_block, "part")
+    queries = blocks(asked.repartition(n_queries, "part"), width, query_block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata")).withColumn("qpart", F.pmod(F.spark_partition_id(), F.lit(n_queries))).withColumn("last", F.lit(n_candidates - 1))
+    queries = stash(queries, "ann-queries")
 
-    def kernel(pair: pa.RecordBatch) -> pa.RecordBatch:
+    def start(pair: pa.RecordBatch) -> dict:
+        qids, q = np.frombuffer(pair.column("qids")[0].as_py(), np.int64), np.frombuffer(pair.column("qdata")[0].as_py()).reshape(-1, width)
+        return {"ids": qids, "q": q, "best": [None] * -(-len(q) // 64)}
+
+    def kernel(state: dict, pair: pa.RecordBatch) -> None:
+        """The ``rerank`` + 1 best of each query so far and of this block (a query's own vector is one of them)."""
         field = lambda name, kind=np.float64: np.frombuffer(pair.column(name)[0].as_py(), kind)
-        qids, q, ids = field("qids", np.int64), field("qdata").reshape(-1, width), field("ids", np.int64)
+        ids = field("ids", np.int64)
         codes, squares = field("codes", np.uint8).reshape(-1, len(ids)), field("squares")
-        found = ([], [], [])
-        for start in range(0, len(q), 64):
-            lookup = tables(q[start : start + 64], centres)
+        for part in range(len(state["best"])):
+            lookup = tables(state["q"][64 * part : 64 * part + 64], centres)
             total = np.zeros((lookup.shape[1], len(ids)), np.float32)
             for byte in range(len(codes)):
                 total += lookup[byte][:, codes[byte]]
             near = squares[None, :] - 2.0 * total
-            at = smallest(near, min(rerank + 1, len(ids)))  # the query's own vector is one of them
-            value = np.take_along_axis(near, at, 1)
-            for out, part in zip(found, (np.broadcast_to(qids[start : start + 64, None], at.shape), ids[at], value), strict=True):
-                out.append(part.ravel())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], schema=_FOUND) if len(q) else pa.RecordBatch.from_pylist([], schema=_FOUND)
-
-    scanned = against(queries, n_queries, index, n_candidates, kernel, "query_id long, vec_id long, near double")
+            at = smallest(near, min(rerank + 1, len(ids)))
+            near, found = np.take_along_axis(near, at, 1), ids[at]
+            if state["best"][part] is not None:
+                near, found = (np.concatenate(both, 1) for both in zip(state["best"][part], (near, found), strict=True))
+                order = np.argsort(found, 1)
+                near, found = np.take_along_axis(near, order, 1), np.take_along_axis(found, order, 1)
+                at = smallest(near, min(rerank + 1, near.shape[1]))
+                near, found = np.take_along_axis(near, at, 1), np.take_along_axis(found, at, 1)
+            state["best"][part] = near, found
+
+    def finish(state: dict) -> pa.RecordBatch:
+        near, found = (np.concatenate(side) for side in zip(*state["best"], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(state["ids"], near.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], schema=_FOUND)
+
+    scanned = against(queries, index, start, kernel, finish, "query_id long, vec_id long, near double")
     chosen = best(scanned, rerank + 1, F.asc("near"), F.asc("vec_id")).select("query_id", "vec_id")
-    near = chosen.join(apart.select(F.col("id").alias("vec_id"), F.col("vector").alias("x"), "ids"), "vec_id").join(rows.where(is_query).select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
+    near = chosen.join(apart.select(F.col("id").alias("vec_id"), F.col("vector").alias("x"), "ids"), "vec_id").join(questions.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
     others = near.withColumn("ids", F.filter("ids", lambda i: i != F.col("query_id"))).where(F.size("ids") > 0)
     measured = others.select("query_id", "ids", F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda s, y: s + y)).alias("score"))
     # k vectors have k ids or more
     each = best(measured, k, F.asc("score"), F.asc(F.col("ids")[0])).select("query_id", "score", F.explode("ids").alias("vec_id"))
+    each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # of rows that repeat an id, the nearest
     return best(each, k, F.asc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 

@@ -56,21 +56,37 @@ def numbered(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def against(queries: DataFrame, n_queries: int, candidates: DataFrame, n_candidates: int, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``kernel`` of every pair of a query block (column qpart) and a candidate block (column cpart).
+def against(queries: DataFrame, candidates: DataFrame, start: Callable, kernel: Callable, finish: Callable, schema: str, groups: int = 64) -> DataFrame:
+    """Every block of queries (columns qpart, qids, last) against the blocks of candidates (column cpart) up to number ``last``.
 
-    Each side is repeated for the other's parts and both are dealt by the pair of parts, so a task
-    holds a few blocks at a time and the pairs spread over all tasks.
+    Only the pairs that are asked for travel.  Candidates are dealt to ``groups`` groups, and a task's
+    work is a query block and a group: ``start`` of the first pair makes a state, ``kernel`` adds a
+    pair to it, ``finish`` gives its rows.  So a query has the rows of ``groups`` states at most,
+    however many blocks there are, and a task holds one state and some blocks at a time.
     """
-    left = queries.withColumn("cpart", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    right = candidates.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    pairs = queries.select("qpart", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("cpart")).distinct()
+    dealt = candidates.join(pairs, "cpart").withColumn("group", F.pmod("cpart", F.lit(groups)))
+    asked = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.least(F.col("last"), F.lit(groups - 1)))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, states = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                yield kernel(batch.slice(k, 1))
-
-    return left.join(right, ["qpart", "cpart"]).mapInArrow(run, schema)
+                pair = batch.slice(k, 1)
+                here = pair.column("qpart")[0].as_py(), pair.column("group")[0].as_py()
+                if here != place:
+                    for state in states.values():
+                        yield finish(state)
+                    place, states = here, {}
+                block = pair.column("qids")[0].as_py()
+                if block not in states:
+                    states[block] = start(pair)
+                kernel(states[block], pair)
+        for state in states.values():
+            yield finish(state)
+
+    # the candidates come first: the other side of a sorted join is held for each key
+    return dealt.join(asked, ["qpart", "group"]).mapInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int, *order: Column) -> DataFrame:

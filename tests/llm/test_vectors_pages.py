@@ -107,6 +107,46 @@ def test_ann_few_and_none(spark):
     assert ann.search(df.where("false"), F.col("id") == 0, 10).count() == 0
 
 
+def test_repeated_ids_and_columns(spark):
+    """Rows that repeat an id, with the same vector and with another, and columns named as the helpers'."""
+    pick = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in pick.integers(-9, 10, 4)]) for k in range(60)]
+    rows += [rows[3], rows[7], (5, [1.0, 2.0, 3.0, 4.0]), rows[0]]
+    df = spark.createDataFrame([(k, v, "n", "c", 1) for k, v in rows], "id long, vector array<double>, norm string, cpart string, last int").repartition(3)
+    got = {}
+    for r in topk_inner.search(df, F.col("id") % 20 == 0, 5, block=16, query_block=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        scores = sorted((-int(np.dot(a, v)), k) for i, a in rows if i == q for k, v in rows if k != q)[:5]
+        assert sorted(got[q]) == [(i + 1, k, -s) for i, (s, k) in enumerate(scores)]
+    near = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, 5, block=16, query_block=4).collect():
+        near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        least = {}
+        for i, a in rows:
+            for k, v in rows:
+                if i == q and k != q and a == min(v for j, v in rows if j == q):
+                    least[k] = min(least.get(k, math.inf), math.dist(a, v))
+        want = sorted((s, k) for k, s in least.items())[:5]
+        assert [(r, k) for r, k, _ in sorted(near[q])] == [(i + 1, k) for i, (_, k) in enumerate(want)]
+
+
+def test_blocks_out_of_reach_do_not_travel(spark):
+    """Short vectors are never sent to queries whose threshold they cannot reach."""
+    rows = [(k, [float(2000 - k), 1.0]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    sent = []
+    plain = topk_inner.against
+    topk_inner.against = lambda queries, candidates, *rest: sent.append((queries.agg(F.max("last")).first()[0], candidates.select("cpart").distinct().count())) or plain(queries, candidates, *rest)
+    try:
+        got = topk_inner.search(df, F.col("id") % 100 == 0, 5, block=100, query_block=10).where("query_id = 100").orderBy("rank").collect()
+    finally:
+        topk_inner.against = plain
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
+    assert sent[0][0] + 1 <= 2 < 15 <= sent[0][1]
+
+
 def test_anisotropic_loss_favours_products():
     """Codes chosen with a weight on the parallel error keep products with near queries better."""
     pick = np.random.default_rng(4)
