@@ -118,7 +118,7 @@ def smallest(near: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(below | (level & (level.cumsum(1) <= room)))[1].reshape(len(near), n)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 32768, query_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 16384, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found, by Euclidean distance, of ``vectors`` (id, vector array<double>)."""
     some = F.exists("vector", lambda x: x != 0)
     rows = stash(vectors.where(valid(F.col("vector")) & some).select(F.col("id").cast("long").alias("id"), "vector", F.lit(0.0).alias("norm")), "ann-vectors")

@@ -56,7 +56,7 @@ def numbered(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def against(queries: DataFrame, candidates: DataFrame, start: Callable, kernel: Callable, finish: Callable, schema: str, groups: int = 64) -> DataFrame:
+def against(queries: DataFrame, candidates: DataFrame, start: Callable, kernel: Callable, finish: Callable, schema: str, groups: int = 16) -> DataFrame:
     """Every block of queries (columns qpart, qids, last) against the blocks of candidates (column cpart) up to number ``last``.
 
     Only the pairs that are asked for travel.  Candidates are dealt to ``groups`` groups, and a task's
