@@ -67,3 +67,13 @@ def expansion_sweep(pool: DataFrame, gold: DataFrame, adds: list[int]) -> DataFr
     rows = pool.withColumn("_p", F.when(F.col("from_exp") == 1, F.row_number().over(w)).otherwise(0)).join(gold.withColumn("hit", F.lit(1)), ["s1", "cand"], "left")
     at = F.explode(F.filter(F.array(*(F.lit(k) for k in adds)), lambda k: k >= F.col("_p")))
     return rows.select("hit", at.alias("added")).groupBy("added").agg(F.count("hit").alias("found"))
+
+
+def budget_report(pairs: DataFrame, gold: DataFrame, queries: DataFrame, score: str, budgets: list[float]) -> DataFrame:
+    """(country, budget, n_gold, found, recall, per_query, ceiling) of the pairs that each budget keeps."""
+    from functools import reduce
+
+    from linkstone.operators.pool import select
+
+    rows = [recall_ceiling(select(pairs, score, b), gold, queries).withColumn("budget", F.lit(float(b))) for b in budgets]
+    return reduce(DataFrame.unionByName, rows)

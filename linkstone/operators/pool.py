@@ -58,22 +58,39 @@ def build(rec: DataFrame, max_df: int = 300, top: int = 30, side: int = 3, n_see
     return competition(query_context(expand(direct, keys, weights, max_df, n_seed, n_exp)))
 
 
+def nth_highest(values: DataFrame, n: int, bins: int = 4096) -> float | None:
+    """The n-th highest of values (v, many: how often each is there), or None if there are fewer.
+
+    A histogram of ``bins`` equal bins tells the bin it is in, whose range is divided again until the
+    bin has one value: some rounds over distributed counts, each of which sends ``bins`` rows.
+    """
+    ends = values.agg(F.min("v"), F.max("v"), F.sum("many")).first()
+    if ends[2] is None or ends[2] < n:
+        return None
+    low, high = ends[0], ends[1]
+    while low < high:
+        place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * bins))
+        inside = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        for row in sorted(inside.groupBy(place.alias("b")).agg(F.sum("many"), F.min("v"), F.max("v")).collect(), reverse=True):
+            if row[1] >= n:
+                low, high = row[2], row[3]
+                break
+            n -= row[1]
+    return low
+
+
 def select(pairs: DataFrame, score: str, budget: float, min_keep: int = 1) -> DataFrame:
     """Pairs within a global budget of ``budget`` candidates a query.
 
     Each query's ``min_keep`` best are kept; the others compete for what is left of budget times
     queries, one place at least, and ties at the cut all stay.  A query's tail beyond twice the
-    budget and five is dropped before.  The cut is one number, found without a global sort.
+    budget and five is dropped before.  The cut is one number, found by histograms: nothing is
+    sorted over all pairs and no task sees more than its share.
     """
     ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("s1").orderBy(F.desc(score), "cand"))).where(F.col("_r") <= int(2 * budget + 5))
-    size = ranked.agg(F.count_distinct("s1").alias("q"), F.sum((F.col("_r") <= min_keep).cast("int")).alias("forced"))
-    # the n-th best score: scores are counted by value, and running sums of those few rows give the cut
-    values = ranked.where(F.col("_r") > min_keep).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("many"))
-    buckets = values.withColumn("b", F.floor(F.col("v"))).groupBy("b").agg(F.sum("many").alias("many"))
-    above = buckets.withColumn("upto", F.sum("many").over(Window.orderBy(F.desc("b")))).withColumn("_", F.lit(0))
-    want = size.select(F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) * F.col("q")).cast("long") - F.coalesce("forced", F.lit(0))).alias("n"))
-    place = above.join(F.broadcast(want)).where("upto - many < n AND n <= upto").select(F.col("b").alias("cb"), (F.col("n") - F.col("upto") + F.col("many")).alias("k"))
-    inside = values.join(F.broadcast(place), F.floor(F.col("v")) == F.col("cb")).withColumn("upto", F.sum("many").over(Window.orderBy(F.desc("v"))))
-    cut = inside.where("upto >= k").agg(F.max("v").alias("cut"))
-    kept = ranked.join(F.broadcast(cut)).where((F.col("_r") <= min_keep) | F.col("cut").isNull() | (F.col(score) >= F.col("cut")))
-    return kept.withColumn("rrank", (F.col("_r") - 1).cast("int")).drop("_r", "cut")
+    queries, forced = ranked.agg(F.count_distinct("s1"), F.sum((F.col("_r") <= min_keep).cast("int"))).first()
+    values = ranked.where(F.col("_r") > min_keep).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("many")).persist()
+    cut = nth_highest(values, max(1, int(budget * queries) - (forced or 0)))
+    values.unpersist()
+    kept = ranked if cut is None else ranked.where((F.col("_r") <= min_keep) | (F.col(score) >= F.lit(cut)))
+    return kept.withColumn("rrank", (F.col("_r") - 1).cast("int")).drop("_r")

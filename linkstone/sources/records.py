@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -82,6 +83,25 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
+def model_once(spark: SparkSession, path: str, make: Callable[[], PipelineModel]) -> PipelineModel:
+    """A fitted model: loaded if a whole one is there, fitted and saved if not."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        make().write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Any table as tab-separated text with a header, for reading by people."""
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
+def read_first_column(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_id): the first field of each line after the header."""
+    lines = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    return lines.select(F.col(lines.columns[0]).alias("entity_id")).where("entity_id IS NOT NULL AND entity_id <> ''")
+
+
 def write_token_map(mapping: DataFrame, path: str) -> None:
     mapping.select("native", "latin").write.mode("overwrite").json(path)
 
@@ -97,3 +117,9 @@ def read_token_map(spark: SparkSession, path: str, limit: int = 200_000) -> dict
 def id_number(entity_id):
     """Column: source times 10^10 plus the number of an id; the string id stays the join key."""
     return F.substring(entity_id, 2, 1).cast("long") * F.lit(10**10) + F.substring(entity_id, 4, 20).cast("long")
+
+
+def id_text(number):
+    """Column: the id of such a number."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.concat(F.lit("S"), F.floor(number / F.lit(10**10)).cast("string"), F.lit("-"), F.pmod(number, F.lit(10**10)).cast("string"))

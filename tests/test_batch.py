@@ -14,6 +14,27 @@ def test_split_is_stable_and_disjoint(spark):
     assert 300 < sample < 500
 
 
+def test_nth_highest(spark):
+    import random
+
+    from linkstone.operators import pool
+
+    pick = random.Random(2)
+    for values in ([1.0] * 5, [pick.random() for _ in range(500)], [pick.choice([0.1, 0.2, 0.30000000001, 0.3]) for _ in range(60)], [1e9, *(pick.random() for _ in range(50))], [-3.5, 2.0]):
+        table = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count(F.lit(1)).alias("many"))
+        for n in {1, 2, len(values) // 2 or 1, len(values)}:
+            assert pool.nth_highest(table, n, bins=16) == sorted(values, reverse=True)[n - 1]
+        assert pool.nth_highest(table, len(values) + 1) is None
+
+
+def test_tables_and_ids(spark, tmp_path):
+    rows = spark.createDataFrame([("S2-17", "a b"), ("S1-9000000001", "")], "entity_id string, note string")
+    io.write_table(rows, str(tmp_path / "t"))
+    assert sorted(r[0] for r in io.read_first_column(spark, str(tmp_path / "t")).collect()) == ["S1-9000000001", "S2-17"]
+    numbers = rows.select("entity_id", io.id_number("entity_id").alias("n"))
+    assert all(r[0] == r[1] for r in numbers.select("entity_id", io.id_text("n")).collect())
+
+
 def test_plug_in(spark):
     pairs = spark.createDataFrame([("a b", "a"), ("x", "y")], "text1 string, text2 string")
     got = model.plug_in(pairs, lambda a, b: (a.str[0] == b.str[0]).astype(float)).collect()
@@ -46,5 +67,9 @@ def test_whole_job(spark, tmp_path):
     pairs = {(r["s1"], r["cand"]) for r in got.collect()}
     right = {(s, c) for s, cs in gold.items() for c in cs}
     assert len(pairs & right) > 0.7 * len(pairs) and len(pairs & right) > 0.5 * len(right)
-    assert pipeline.report(spark, str(data), str(tmp_path / "work")).count() == 3
+    report = pipeline.report(spark, str(data), str(tmp_path / "work"), (2, 8)).collect()
+    recall = {(r["country"], r["budget"]): r["recall"] for r in report}
+    assert len(recall) == 6 and all(recall[c, 2.0] <= recall[c, 8.0] and recall[c, 8.0] > 0.8 for c in ("en", "de", "es"))
+    again = pipeline.io.model_once(spark, str(tmp_path / "work" / "ranker"), lambda: 1 / 0)
+    assert len(again.stages) == 2
     spark.catalog.clearCache()
