@@ -7,7 +7,7 @@ Spark does not have.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkstone.functions import similarity as S
@@ -169,6 +169,11 @@ def rarity_features(pairs: DataFrame, rec: DataFrame) -> DataFrame:
     return out.drop(*(f"{c}_{n}" for c in ("addr_key", "n_s1", "n_c", "a_c") for n in (1, 2)))
 
 
+def name_x_addr() -> Column:
+    """Product of both character cosines; an empty address counts a half."""
+    return F.round(F.col("cos_c3_nm") * F.when(F.col("ad2") == "", 0.5).otherwise(F.col("cos_c3_ad")), 6)
+
+
 def context(pairs: DataFrame, columns: tuple[str, ...] = ("cos_c3_nm", "cos_c3_ad", "name_x_addr", "cos_w_core")) -> DataFrame:
     """Adds what a pair is among its query's and its candidate's pairs."""
     q, c = Window.partitionBy("s1"), Window.partitionBy("cand")
@@ -191,5 +196,5 @@ def all_features(pairs: DataFrame, rec: DataFrame, extra: DataFrame, agree: Data
     text = rec.withColumn("core", F.array_join("core", " ")).withColumn("alph", F.array_join("alph", " "))
     for column, kind in VECTORS:
         out = tfidf.cosine(out, tfidf.vectors(text, column, kind), f"cos_{kind}_{column}")
-    out = rarity_features(out, rec).withColumn("name_x_addr", F.round(F.col("cos_c3_nm") * F.when(F.col("ad2") == "", 0.5).otherwise(F.col("cos_c3_ad")), 6))
+    out = rarity_features(out, rec).withColumn("name_x_addr", name_x_addr())
     return context(out).drop(*(f"{f}{s}" for f in FIELDS for s in (1, 2)))

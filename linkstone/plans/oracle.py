@@ -5,7 +5,8 @@ from __future__ import annotations
 from linkstone.functions import dictionaries as D
 from linkstone.functions.text import words_sql
 from linkstone.operators.blocking import CHANNEL, GROUP
-from linkstone.plans.records import RECORDS_SQL
+from linkstone.operators.features import VECTORS
+from linkstone.plans.records import NOISY_SQL, RECORDS_SQL
 
 
 def _case(column: str, table: dict[str, str]) -> str:
@@ -139,6 +140,34 @@ SELECT s1, cand, sc, (r - 1)::INTEGER AS rrank FROM r WHERE r <= 1 OR sc >= (SEL
 _ASSIGNED = ", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM p) WHERE r = 1)"
 _GRID = ", ".join(f"{0.2 + 0.025 * k:.3f}" for k in range(31))
 
+def _side(p: str, a: str, b: str) -> str:
+    """Statistics of the tokens that only core ``a`` has."""
+    return f"""SELECT a.s1, a.cand, coalesce(max(rate), CASE WHEN count(token) = 0 THEN 0.0 ELSE -1.0 END) AS {p}_sib_max, round(coalesce(avg(rate), CASE WHEN count(token) = 0 THEN 0.0 ELSE -1.0 END), 6) AS {p}_sib_mean, count(CASE WHEN rate >= 0.85 THEN 1 END)::INTEGER AS {p}_n_sib,
+  count(CASE WHEN rate <= 0.4 THEN 1 END)::INTEGER AS {p}_n_noise, count(CASE WHEN token IS NOT NULL AND rate IS NULL THEN 1 END)::INTEGER AS {p}_n_unk, coalesce(min(agree), -1.0) AS {p}_agree_min, count(CASE WHEN agree < 0.3 THEN 1 END)::INTEGER AS {p}_n_lowagree
+FROM att a LEFT JOIN (SELECT country, s1, cand, token, rate, agree FROM (SELECT country, s1, cand, unnest({_except(a, b)}) AS token FROM att) LEFT JOIN ex USING (token) LEFT JOIN ag USING (country, token)) y ON y.s1 = a.s1 AND y.cand = a.cand GROUP BY a.s1, a.cand"""
+
+
+_SIBLINGS = sql("pairs", _ADDED + f""", ex AS (SELECT token, round((sum(1 - label) + 0.5 * 20) / (count(*) + 20), 6) AS rate FROM (SELECT label, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_) GROUP BY token HAVING count(*) >= 5
+), ag AS (SELECT country, token, round(avg(eq), 6) AS agree FROM (SELECT country, (nums1[1] = nums2[1])::INTEGER AS eq, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_ WHERE len(nums1) > 0 AND len(nums2) > 0) GROUP BY ALL HAVING count(*) >= 5
+), two AS ({_side('x2', 'core2', 'core1')}), one AS ({_side('x1', 'core1', 'core2')})
+SELECT * EXCLUDE (x1_sib_mean, x1_n_unk) FROM two JOIN one USING (s1, cand)""")
+
+# phonetic keys: h and w pass, letters become digits (vowels _), runs of one digit count once, the first letter stays
+_MAPPED = "translate(left({t}, 1) || regexp_replace(substr({t}, 2), '[hw]', '', 'g'), 'bfpvcgjkqsxzdtlmnraeiouyhw', '111122222222334556________')"
+_RUNS = _MAPPED
+for _digit in "0123456789":
+    _RUNS = f"regexp_replace({_RUNS}, '{_digit}+', '{_digit}', 'g')"
+_SOUND = f"CASE WHEN regexp_matches(t, '^[0-9]') THEN t ELSE left(left(t, 1) || replace(substr({_RUNS.replace('{t}', 't')}, 2), '_', '') || '000', 4) END"
+_sounds = lambda c: f"list_distinct(list_transform({c}, lambda t: {_SOUND}))"
+_TYPES = words_sql(D.STREET_TYPES)
+_place = lambda a: f"coalesce(list_position(list_transform({a}[2:8], lambda t: t IN ({_TYPES})), true), 0)"
+_street = lambda a: f"array_to_string(CASE WHEN {_place(a)} > 0 THEN {a}[greatest({_place(a)} - 2, 1) : greatest({_place(a)} - 2, 1) + least({_place(a)} + 1, 4) - 1] ELSE {a}[1:2] END, ' ')"
+
+
+def _relative(column: str) -> str:
+    return f"round({column} - max({column}) OVER (PARTITION BY s1), 6) AS {column}_rel1, round({column} - max({column}) OVER (PARTITION BY cand), 6) AS {column}_relc, rank() OVER (PARTITION BY s1 ORDER BY {column} DESC)::INTEGER AS {column}_rk1"
+
+
 ORACLE_SQL = {
     "er_records": sql("records", " SELECT * FROM records"),
     "er_normalise_name": sql("named", " SELECT entity_id, nm, array_to_string(core, ' ') AS core, has_dba FROM named"),
@@ -171,7 +200,8 @@ SELECT s1, cand, b_rel, n_cand_s1, cand_ns1, cand_rank, round(CASE WHEN cand_ns1
   {_flag("core1[1] = core2[1]")} AS first_tok_eq, {_inter(_legal('nm1'), _legal('nm2'))}::DOUBLE AS legal_common,
   {_flag(f"{_full(_legal('nm1'), _legal('nm2'))} AND {_inter(_legal('nm1'), _legal('nm2'))} = 0")} AS legal_conflict, len(core1)::DOUBLE AS n_core1, len(core2)::DOUBLE AS n_core2,
   {_flag("array_to_string(core1, '') <> '' AND array_to_string(core2, '') <> '' AND (contains(replace(nm2, ' ', ''), array_to_string(core1, '')) OR contains(replace(nm1, ' ', ''), array_to_string(core2, '')))")} AS name_in_other,
-  round({_inter('core1', 'core2')}::DOUBLE / {_dist('core1')}, 6) AS core_cov1, round({_inter('core1', 'core2')}::DOUBLE / {_dist('core2')}, 6) AS core_cov2 FROM att"""),
+  round({_inter('core1', 'core2')}::DOUBLE / {_dist('core1')}, 6) AS core_cov1, round({_inter('core1', 'core2')}::DOUBLE / {_dist('core2')}, 6) AS core_cov2,
+  len(list_filter(string_split(nm2, ' '), lambda t: regexp_full_match(t, '[0-9]+') AND NOT list_contains(string_split(nm1, ' '), t)))::DOUBLE AS nm_digit_tok2 FROM att"""),
     "er_number_features": sql("pairs", f""" SELECT s1, cand, {_inter('nums1', 'nums2')}::DOUBLE AS num_common, round(CASE WHEN {_full('nums1', 'nums2')} THEN {_jac('nums1', 'nums2')} ELSE -1.0 END, 6) AS num_jac,
   CASE WHEN {_full('nums1', 'nums2')} THEN {_flag('nums1[1] = nums2[1]')} ELSE -1.0::DOUBLE END AS first_num_eq, {_flag(f"{_full('nums1', 'nums2')} AND NOT list_contains(nums2, nums1[1])")} AS num_conflict_first,
   CASE WHEN {_full(_zips('nums1'), _zips('nums2'))} THEN {_flag(f"{_inter(_zips('nums1'), _zips('nums2'))} > 0")} ELSE -1.0::DOUBLE END AS zip_eq,
@@ -203,12 +233,7 @@ FROM pairs p JOIN kk x ON x.id = p.s1 JOIN kk y ON y.id = p.cand JOIN nc n1 ON n
 LEFT JOIN ac a1 ON a1.country = x.country AND a1.addr_key = x.addr_key LEFT JOIN ac a2 ON a2.country = y.country AND a2.addr_key = y.addr_key"""),
     "er_extra_token_table": sql("pairs", _ADDED + f", t AS (SELECT label, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_) SELECT token, count(*) AS n, round((sum(1 - label) + 0.5 * 20) / (count(*) + 20), 6) AS rate FROM t GROUP BY token HAVING count(*) >= 5"),
     "er_agree_table": sql("pairs", _ADDED + f", t AS (SELECT country, (nums1[1] = nums2[1])::INTEGER AS eq, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_ WHERE len(nums1) > 0 AND len(nums2) > 0) SELECT country, token, count(*) AS n, round(avg(eq), 6) AS agree FROM t GROUP BY ALL HAVING count(*) >= 5"),
-    "er_sibling_stats": sql("pairs", _ADDED + f""", ex AS (SELECT token, round((sum(1 - label) + 0.5 * 20) / (count(*) + 20), 6) AS rate FROM (SELECT label, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_) GROUP BY token HAVING count(*) >= 5
-), ag AS (SELECT country, token, round(avg(eq), 6) AS agree FROM (SELECT country, (nums1[1] = nums2[1])::INTEGER AS eq, unnest(list_concat({_except('core1', 'core2')}, {_except('core2', 'core1')})) AS token FROM over_ WHERE len(nums1) > 0 AND len(nums2) > 0) GROUP BY ALL HAVING count(*) >= 5
-), y AS (SELECT country, s1, cand, token, rate, agree FROM (SELECT country, s1, cand, unnest({_except('core2', 'core1')}) AS token FROM att) LEFT JOIN ex USING (token) LEFT JOIN ag USING (country, token))
-SELECT a.s1, a.cand, coalesce(max(rate), CASE WHEN count(token) = 0 THEN 0.0 ELSE -1.0 END) AS x2_sib_max, round(coalesce(avg(rate), CASE WHEN count(token) = 0 THEN 0.0 ELSE -1.0 END), 6) AS x2_sib_mean, count(CASE WHEN rate >= 0.85 THEN 1 END)::INTEGER AS x2_n_sib,
-  count(CASE WHEN rate <= 0.4 THEN 1 END)::INTEGER AS x2_n_noise, count(CASE WHEN token IS NOT NULL AND rate IS NULL THEN 1 END)::INTEGER AS x2_n_unk, coalesce(min(agree), -1.0) AS x2_agree_min, count(CASE WHEN agree < 0.3 THEN 1 END)::INTEGER AS x2_n_lowagree
-FROM att a LEFT JOIN y ON y.s1 = a.s1 AND y.cand = a.cand GROUP BY a.s1, a.cand"""),
+    "er_sibling_stats": _SIBLINGS,
     "er_candidate_cut": sql("pairs", " SELECT s1, cand, sc, (row_number() OVER (PARTITION BY s1 ORDER BY sc DESC, cand) - 1)::INTEGER AS brank FROM ranked WHERE brank < 6 OR (rank_n < 2 AND sn > 0) OR (rank_a < 2 AND sa > 0)"),
     "er_assign_one_to_one": sql("pairs", " SELECT s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM p WHERE p >= 0.65) WHERE r = 1"),
     "er_threshold_grid": sql("pairs", _ASSIGNED + f""", g AS (SELECT unnest([{_GRID}])::DOUBLE AS threshold), per AS (SELECT best.s1, threshold, count(gold.cand) AS tp, count(*) AS predicted FROM best JOIN g ON threshold <= p LEFT JOIN gold ON gold.s1 = best.s1 AND gold.cand = best.cand GROUP BY ALL
@@ -237,4 +262,14 @@ SELECT q_country AS country, CASE WHEN c_country <> q_country THEN 'not_in_count
   UNION ALL SELECT 'wrong_prefix', id FROM (SELECT unnest(ids) AS id FROM l) WHERE NOT regexp_matches(id, '^S[123]-') UNION ALL SELECT 'missing_row', s1 FROM queries WHERE s1 NOT IN (SELECT s1 FROM l))
 SELECT "check", count(*) AS n, array_to_string(list_sort(list(DISTINCT subject))[1:5], ',') AS examples FROM f GROUP BY "check\""""),
     "er_link": sql("pairs", " SELECT country, s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM p WHERE p >= 0.65) WHERE r = 1"),
+    "er_normalise_noisy": f"WITH {RECORDS_SQL}, {NOISY_SQL}, {NAMES.replace('FROM records', 'FROM noisy').replace('owner, has_dba', 'owner, is_dom, has_dba')}, {ADDRESSES.replace('owner, has_dba', 'owner, is_dom, has_dba')} SELECT entity_id, nm, array_to_string(core, ' ') AS core, is_dom, has_dba, ad, array_to_string(nums, ' ') AS nums, array_to_string(alph, ' ') AS alph FROM rec",
+    "er_block_detail": sql("pairs", " SELECT s1, cand, maxidf, g0, g1, g2, g3, g4, g5 FROM scored JOIN ranked USING (s1, cand) WHERE brank < 12"),
+    "er_street": sql("pairs", f""" SELECT s1, cand, CASE WHEN {_street('alph1')} <> '' AND {_street('alph2')} <> '' THEN {_lev(_street('alph1'), _street('alph2'))} ELSE -1.0::DOUBLE END AS lev_street, {_flag("ad2 = ''")} AS ad_empty2, 0.0::DOUBLE AS is_dom_2, 0.0::DOUBLE AS has_dba_2, substr(cand, 2, 1)::DOUBLE AS src,
+  round(least(length(nm1), length(nm2))::DOUBLE / greatest(length(nm1), length(nm2), 1), 6) AS len_ratio_nm FROM att"""),
+    "er_soundex_cov": sql("pairs", f""", so AS (SELECT s1, cand, {_sounds('core1')} AS x1, {_sounds('core2')} AS x2 FROM att) SELECT s1, cand, round(len(list_intersect(x1, x2))::DOUBLE / len(x1), 6) AS sdx_cov1, round(len(list_intersect(x1, x2))::DOUBLE / len(x2), 6) AS sdx_cov2 FROM so"""),
+    "er_relative_context": f"SELECT s1, cand, name_x_addr, {_relative('cos_c3_nm')}, {_relative('name_x_addr')} FROM (SELECT s1, cand, cos_c3_nm, round(cos_c3_nm * CASE WHEN ad2 = '' THEN 0.5 ELSE cos_c3_ad END, 6) AS name_x_addr FROM ({_tfidf('nm', 'c3', 'cos_c3_nm')}) JOIN ({_tfidf('ad', 'c3', 'cos_c3_ad')}) USING (s1, cand) JOIN ({sql('pairs', ' SELECT s1, cand, ad2 FROM att')}) USING (s1, cand))",
+    **{f"er_tfidf_{kind}_{column}": _tfidf(f"array_to_string({column}, ' ')" if column in ("core", "alph") else column, kind, f"cos_{kind}_{column}") for column, kind in VECTORS if (column, kind) not in (("core", "w"), ("nm", "c3"))},
 }
+_RECALL_AT = lambda b: sql("pairs", f""", keep AS ({_budget(b).lstrip(', ').replace('r0 AS', 'WITH r0 AS', 1)}), x AS (SELECT q.country, q.s1, (SELECT count(*) FROM gold g WHERE g.s1 = q.s1) AS gold, (SELECT count(*) FROM gold g JOIN keep p ON p.s1 = g.s1 AND p.cand = g.cand WHERE g.s1 = q.s1) AS found, (SELECT count(*) FROM keep p WHERE p.s1 = q.s1) AS cands FROM queries q)
+SELECT {b}::DOUBLE AS budget, country, sum(gold)::BIGINT AS n_gold, sum(found)::BIGINT AS found, round(sum(found)::DOUBLE / sum(gold), 6) AS recall, round(avg(cands), 6) AS per_query, round(avg(CASE WHEN gold = 0 THEN 1.0 WHEN found = 0 THEN 0.0 ELSE 1.25 * (found::DOUBLE / gold) / (0.25 + found::DOUBLE / gold) END), 6) AS ceiling FROM x GROUP BY country""")
+ORACLE_SQL["er_budget_recall"] = " UNION ALL ".join(f"SELECT * FROM ({_RECALL_AT(b)})" for b in (2.0, 5.0, 8.0))

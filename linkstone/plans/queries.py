@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkstone.functions.text import normalise
 from linkstone.operators import blocking, decide, features, metrics, model, pool, ranker, tables, tfidf, validate
 from linkstone.plans.oracle import ORACLE_SQL  # noqa: F401
-from linkstone.plans.records import records
+from linkstone.plans.records import noisy_records, records
 from linkstone.sources.records import id_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,14 @@ def er_normalise_address(spark, sf_dir):
     return _rec(spark, sf_dir).select("entity_id", "ad", F.array_join("nums", " ").alias("nums"), F.array_join("alph", " ").alias("alph"))
 
 
+@query
+def er_normalise_noisy(spark, sf_dir):
+    """Names and addresses with domains, second names, acronyms, leet, accents, native script, states and ordinals."""
+    out = normalise(noisy_records(spark, sf_dir))
+    joined = {c: F.array_join(c, " ") for c in ("core", "nums", "alph")}
+    return out.withColumns(joined).select("entity_id", "nm", "core", "is_dom", "has_dba", "ad", "nums", "alph")
+
+
 @query
 def er_key_catalogue(spark, sf_dir):
     return blocking.key_rows(_rec(spark, sf_dir)).select("country", "id", "src", "key")
@@ -100,6 +108,12 @@ def er_block_side_slots(spark, sf_dir):
     return _pairs(_rec(spark, sf_dir)).select("country", "s1", "cand", "sc", "sn", "sa", "nkeys", "brank", "rank_n", "rank_a")
 
 
+@query
+def er_block_detail(spark, sf_dir):
+    """What the keys of a pair were: the largest weight and the number of each group."""
+    return _ranked(_rec(spark, sf_dir), detail=True).where("brank < 12").select("s1", "cand", "maxidf", *(f"g{g}" for g in range(6)))
+
+
 @query
 def er_noaddr_cap(spark, sf_dir):
     return blocking.block_by_address(_rec(spark, sf_dir), max_df=20, max_df_noaddr=40).select("country", "s1", "cand", "sc", "brank")
@@ -143,9 +157,26 @@ def er_budget_select(spark, sf_dir):
     return pool.select(_pairs(_rec(spark, sf_dir)), "sc", 8.0).select("s1", "cand", "sc", "rrank")
 
 
+@query
+def er_budget_recall(spark, sf_dir):
+    """Recall and ceiling of what each budget keeps."""
+    rec = _rec(spark, sf_dir)
+    return metrics.budget_report(_pairs(rec), _gold(rec), _queries(rec), "sc", [2.0, 5.0, 8.0])
+
+
+@query
+def er_ranker(spark, sf_dir):
+    """The pool ranked by a model fitted on other queries, cut to four candidates a query."""
+    rec = _rec(spark, sf_dir)
+    rows = model.split(ranker.text_features(pool.build(rec), rec)).persist()
+    fitted = ranker.fit(rows.where("fold = 'train'").drop("fold"), _gold(rec), trees=10, depth=4)
+    held = ranker.apply(rows.where("fold <> 'train'").drop("fold"), fitted)
+    return pool.select(held, "rp", 4.0).select("s1", "cand", F.round("rp", 4).alias("rp"), "rrank")
+
+
 @query
 def er_set_features(spark, sf_dir):
-    return features.set_features(_attached(_rec(spark, sf_dir))).select("s1", "cand", "core_jac", "core_ovl_min", "concat_eq", "concat_sub", "first_tok_eq", "legal_common", "legal_conflict", "n_core1", "n_core2", "name_in_other", "core_cov1", "core_cov2")
+    return features.set_features(_attached(_rec(spark, sf_dir))).select("s1", "cand", "core_jac", "core_ovl_min", "concat_eq", "concat_sub", "first_tok_eq", "legal_common", "legal_conflict", "n_core1", "n_core2", "name_in_other", "core_cov1", "core_cov2", "nm_digit_tok2")
 
 
 @query
@@ -180,6 +211,13 @@ def er_partial_ratio(spark, sf_dir):
     return features.edit_features(_attached(_rec(spark, sf_dir))).select("s1", "cand", "pr_nm", "lev_street")
 
 
+@query
+def er_street(spark, sf_dir):
+    """Similarity of the streets, and features of single records."""
+    attached = features.edit_features(features.record_features(_attached(_rec(spark, sf_dir))))
+    return attached.select("s1", "cand", "lev_street", "ad_empty2", "is_dom_2", "has_dba_2", "src", "len_ratio_nm")
+
+
 @query
 def er_soundex_cov(spark, sf_dir):
     return features.edit_features(_attached(_rec(spark, sf_dir))).select("s1", "cand", "sdx_cov1", "sdx_cov2")
@@ -197,6 +235,31 @@ def er_tfidf_cosine_char3(spark, sf_dir):
     return tfidf.cosine(_pairs(rec), tfidf.vectors(rec, "nm", "c3"), "cos_c3_nm").select("s1", "cand", "cos_c3_nm")
 
 
+def _cosine(column: str, kind: str) -> Query:
+    def run(spark, sf_dir):
+        rec = _rec(spark, sf_dir)
+        text = rec.withColumns({c: F.array_join(c, " ") for c in ("core", "alph")})
+        return tfidf.cosine(_pairs(rec), tfidf.vectors(text, column, kind), f"cos_{kind}_{column}").select("s1", "cand", f"cos_{kind}_{column}")
+
+    return run
+
+
+for _column, _kind in features.VECTORS:
+    if (_column, _kind) not in (("core", "w"), ("nm", "c3")):
+        QUERIES[f"er_tfidf_{_kind}_{_column}"] = _cosine(_column, _kind)
+
+
+@query
+def er_relative_context(spark, sf_dir):
+    """A cosine against the best of its query's and its candidate's pairs, and the product of name and address."""
+    rec = _rec(spark, sf_dir)
+    rows = features.attach(_pairs(rec), rec).select("country", "s1", "cand", "sc", "ad2")
+    for column in ("nm", "ad"):
+        rows = tfidf.cosine(rows, tfidf.vectors(rec, column, "c3"), f"cos_c3_{column}")
+    out = features.context(rows.withColumn("name_x_addr", features.name_x_addr()))
+    return out.select("s1", "cand", "name_x_addr", *(f"{c}_{k}" for c in ("cos_c3_nm", "name_x_addr") for k in ("rel1", "relc", "rk1")))
+
+
 @query
 def er_token_df(spark, sf_dir):
     return tables.token_df(_rec(spark, sf_dir))
@@ -222,7 +285,7 @@ def er_agree_table(spark, sf_dir):
 def er_sibling_stats(spark, sf_dir):
     rec = _rec(spark, sf_dir)
     out = features.sibling_stats(_attached(rec), tables.extra_tokens(_labelled(rec), min_support=5), tables.agreement(_attached(rec), min_support=5))
-    return out.select("s1", "cand", "x2_sib_max", "x2_sib_mean", "x2_n_sib", "x2_n_noise", "x2_n_unk", "x2_agree_min", "x2_n_lowagree")
+    return out.select("s1", "cand", "x2_sib_max", "x2_sib_mean", "x2_n_sib", "x2_n_noise", "x2_n_unk", "x2_agree_min", "x2_n_lowagree", "x1_sib_max", "x1_n_sib", "x1_n_noise", "x1_agree_min", "x1_n_lowagree")
 
 
 @query

@@ -53,3 +53,35 @@ tok AS (
   UNION ALL SELECT 'S2-' || (id + 20000000), 2, country, name, (hn + 3) || ' ' || t4 || ' Rd ' || t5 || ' ' || zip, NULL FROM d WHERE id % 7 = 0
   UNION ALL SELECT 'S3-' || (id + 10000000), 3, country, name || ' Exports Pvt Ltd', '12 ' || t5 || ' Street', NULL FROM d WHERE id % 5 = 0
 )"""
+
+
+# letters and the Devanagari consonants that stand for them; romanised, an inherent a follows each but the last
+_LATIN, _NATIVE = "kgjtdnpbmyrlvsh", "कगजतदनपबमयरलवसह"
+
+
+def noisy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with further noise in names and addresses, by rules on the id's number.
+
+    Domains, second names, dotted acronyms, digits for letters, accents, native script, forms of
+    address and symbols; names of states, ordinals and numbers in other forms.
+    """
+    rec = records(spark, sf_dir).withColumn("k", F.expr("cast(split(entity_id, '-')[1] AS long) % 10")).withColumn("t", F.split(F.lower(F.regexp_replace("business_name", "^M/s ", "")), " "))
+    name = f"""CASE k WHEN 0 THEN concat('https://www.', t[0], t[1], '.co.in') WHEN 1 THEN concat(business_name, ' d/b/a ', t[1], ' Inc')
+      WHEN 2 THEN concat('S.A.R.L. ', t[0], ' J.K.') WHEN 3 THEN translate(lower(business_name), 'oes', '035') WHEN 4 THEN translate(business_name, 'aeiou', 'àéîöü')
+      WHEN 5 THEN concat(translate(concat(regexp_replace(t[0], '[^{_LATIN}]', ''), 'k'), '{_LATIN}', '{_NATIVE}'), ' ', business_name) WHEN 6 THEN concat('Shri Messrs ', t[0], ' & ', t[1], '+', t[2], ' @ 2024')
+      WHEN 7 THEN concat(t[0], '.com ', t[1], ' Corporation') ELSE business_name END"""
+    address = f"""CASE k WHEN 1 THEN concat(business_address, ', West Bengal 560 001') WHEN 2 THEN concat('1st Floor # 12 ', business_address) WHEN 3 THEN concat(business_address, ' New Hampshire texas')
+      WHEN 4 THEN concat('Suite 5-B, ', translate(business_address, 'aeiou', 'àéîöü')) WHEN 5 THEN concat('n° 007 fifth ', business_address, ' Tamil Nadu') WHEN 6 THEN concat(translate(concat(regexp_replace(t[1], '[^{_LATIN}]', ''), 'k'), '{_LATIN}', '{_NATIVE}'), ' rd') ELSE business_address END"""
+    return rec.withColumns({"business_name": F.expr(name), "business_address": F.expr(address)}).drop("k", "t")
+
+
+# the same noise where the SQL's normaliser knows it, and what it stands for where it does not (domains, dots, accents, native script)
+NOISY_SQL = f"""
+tokens AS (SELECT *, split_part(entity_id, '-', 2)::BIGINT % 10 AS k, string_split(lower(regexp_replace(business_name, '^M/s ', '')), ' ') AS t FROM records
+), letters AS (SELECT *, array_to_string(string_split(regexp_replace(t[1], '[^{_LATIN}]', '', 'g') || 'k', ''), 'a') AS l1, array_to_string(string_split(regexp_replace(t[2], '[^{_LATIN}]', '', 'g') || 'k', ''), 'a') AS l2 FROM tokens
+), noisy AS (SELECT entity_id, src, country, owner, (k IN (0, 7))::TINYINT AS is_dom,
+    CASE k WHEN 0 THEN t[1] || t[2] WHEN 1 THEN business_name || ' d/b/a ' || t[2] || ' Inc' WHEN 2 THEN 'sarl ' || t[1] || ' jk' WHEN 3 THEN translate(lower(business_name), 'oes', '035') WHEN 4 THEN business_name
+      WHEN 5 THEN l1 || ' ' || business_name WHEN 6 THEN 'Shri Messrs ' || t[1] || ' & ' || t[2] || '+' || t[3] || ' @ 2024' WHEN 7 THEN t[1] || ' ' || t[2] || ' Corporation' ELSE business_name END AS business_name,
+    CASE k WHEN 1 THEN business_address || ', wb 560 001' WHEN 2 THEN '1st Floor # 12 ' || business_address WHEN 3 THEN business_address || ' nh texas' WHEN 4 THEN 'Suite 5-B, ' || business_address WHEN 5 THEN ' no  007 fifth ' || business_address || ' tn' WHEN 6 THEN l2 || ' rd' ELSE business_address END AS business_address
+  FROM letters
+)"""
