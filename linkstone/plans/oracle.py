@@ -6,7 +6,7 @@ from linkstone.functions import dictionaries as D
 from linkstone.functions.text import words_sql
 from linkstone.operators.blocking import CHANNEL, GROUP
 from linkstone.operators.features import VECTORS
-from linkstone.plans.records import NOISY_SQL, RECORDS_SQL
+from linkstone.plans.records import NATIVE_SQL, NOISY_SQL, RECORDS_SQL
 
 
 def _case(column: str, table: dict[str, str]) -> str:
@@ -263,6 +263,7 @@ SELECT q_country AS country, CASE WHEN c_country <> q_country THEN 'not_in_count
 SELECT "check", count(*) AS n, array_to_string(list_sort(list(DISTINCT subject))[1:5], ',') AS examples FROM f GROUP BY "check\""""),
     "er_link": sql("pairs", " SELECT country, s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM p WHERE p >= 0.65) WHERE r = 1"),
     "er_normalise_noisy": f"WITH {RECORDS_SQL}, {NOISY_SQL}, {NAMES.replace('FROM records', 'FROM noisy').replace('owner, has_dba', 'owner, is_dom, has_dba')}, {ADDRESSES.replace('owner, has_dba', 'owner, is_dom, has_dba')} SELECT entity_id, nm, array_to_string(core, ' ') AS core, is_dom, has_dba, ad, array_to_string(nums, ' ') AS nums, array_to_string(alph, ' ') AS alph FROM rec",
+    "er_token_map": f"WITH {RECORDS_SQL}, {NATIVE_SQL} SELECT native, latin FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY score DESC, met DESC, latin DESC) AS k FROM judged) WHERE k = 1",
     "er_block_detail": sql("pairs", " SELECT s1, cand, maxidf, g0, g1, g2, g3, g4, g5 FROM scored JOIN ranked USING (s1, cand) WHERE brank < 12"),
     "er_street": sql("pairs", f""" SELECT s1, cand, CASE WHEN {_street('alph1')} <> '' AND {_street('alph2')} <> '' THEN {_lev(_street('alph1'), _street('alph2'))} ELSE -1.0::DOUBLE END AS lev_street, {_flag("ad2 = ''")} AS ad_empty2, 0.0::DOUBLE AS is_dom_2, 0.0::DOUBLE AS has_dba_2, substr(cand, 2, 1)::DOUBLE AS src,
   round(least(length(nm1), length(nm2))::DOUBLE / greatest(length(nm1), length(nm2), 1), 6) AS len_ratio_nm FROM att"""),

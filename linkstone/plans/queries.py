@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkstone.functions.text import normalise
 from linkstone.operators import blocking, decide, features, metrics, model, pool, ranker, tables, tfidf, validate
 from linkstone.plans.oracle import ORACLE_SQL  # noqa: F401
-from linkstone.plans.records import noisy_records, records
+from linkstone.plans.records import native_pairs, noisy_records, records
 from linkstone.sources.records import id_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,9 +290,8 @@ def er_sibling_stats(spark, sf_dir):
 
 @query
 def er_token_map(spark, sf_dir):
-    native = {"टाटा": "tata", "शर्मा": "sharma", "दिल्ली": "delhi"}
-    rows = [(f"{b} works {k}", f"{a} {k}") for a, b in native.items() for k in range(5)]
-    return tables.token_map(spark.createDataFrame(rows, "latin_text string, native_text string"))
+    """Latin words for the native-script words of all owned records."""
+    return tables.token_map(native_pairs(spark, sf_dir))
 
 
 @query

@@ -75,6 +75,15 @@ def noisy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.withColumns({"business_name": F.expr(name), "business_address": F.expr(address)}).drop("k", "t")
 
 
+def native_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(latin_text, native_text): names of owned records in native script beside their S1 record's in Latin letters."""
+    letters = F.concat(F.regexp_replace(F.split(F.lower(F.regexp_replace("business_name", "^M/s ", "")), " ")[0], f"[^{_LATIN}]", ""), F.lit("k"))
+    rec = records(spark, sf_dir).withColumn("letters", letters)
+    native = rec.where("owner IS NOT NULL").select("owner", F.concat_ws(" ", F.translate("letters", _LATIN, _NATIVE), "business_name").alias("native_text"))
+    latin = rec.where("src = 1").select(F.col("entity_id").alias("owner"), F.concat_ws(" ", F.expr("array_join(split(letters, ''), 'a')"), F.col("business_name")).alias("latin_text"))
+    return native.join(latin, "owner").select("latin_text", "native_text")
+
+
 # the same noise where the SQL's normaliser knows it, and what it stands for where it does not (domains, dots, accents, native script)
 NOISY_SQL = f"""
 tokens AS (SELECT *, split_part(entity_id, '-', 2)::BIGINT % 10 AS k, string_split(lower(regexp_replace(business_name, '^M/s ', '')), ' ') AS t FROM records
@@ -85,3 +94,14 @@ tokens AS (SELECT *, split_part(entity_id, '-', 2)::BIGINT % 10 AS k, string_spl
     CASE k WHEN 1 THEN business_address || ', wb 560 001' WHEN 2 THEN '1st Floor # 12 ' || business_address WHEN 3 THEN business_address || ' nh texas' WHEN 4 THEN 'Suite 5-B, ' || business_address WHEN 5 THEN ' no  007 fifth ' || business_address || ' tn' WHEN 6 THEN l2 || ' rd' ELSE business_address END AS business_address
   FROM letters
 )"""
+
+NATIVE_SQL = f"""
+lt AS (SELECT *, regexp_replace(string_split(lower(regexp_replace(business_name, '^M/s ', '')), ' ')[1], '[^{_LATIN}]', '', 'g') || 'k' AS letters FROM records
+), np AS (SELECT translate(n.letters, '{_LATIN}', '{_NATIVE}') AS native, array_to_string(string_split(n.letters, ''), 'a') AS sound,
+    list_filter(string_split(lower(array_to_string(string_split(l.letters, ''), 'a') || ' ' || l.business_name), ' '), lambda t: NOT list_contains(string_split_regex(lower(regexp_replace(n.business_name, '[^a-zA-Z0-9]', ' ', 'g')), '\\s+'), t)) AS latin
+  FROM lt n JOIN lt l ON l.entity_id = n.owner AND l.src = 1
+), seen AS (SELECT native, sound, count(*) AS seen FROM np GROUP BY ALL HAVING count(*) >= 3
+), met AS (SELECT native, latin, count(*) AS met FROM (SELECT native, unnest(list_distinct(latin)) AS latin FROM np) GROUP BY ALL
+), few AS (SELECT *, row_number() OVER (PARTITION BY native ORDER BY met DESC, latin) AS r FROM met
+), judged AS (SELECT native, latin, met, (met::DOUBLE / seen) * (0.35 + CASE WHEN greatest(length(sound), length(latin)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(sound, latin)::DOUBLE / greatest(length(sound), length(latin)) END) AS score FROM few JOIN seen USING (native) WHERE r <= 8 AND met::DOUBLE / seen >= 0.3
+)"""
