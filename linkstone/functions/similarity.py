@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -24,32 +25,46 @@ def token_close(t: str, others: str) -> str:
     return f"CASE WHEN array_contains({others}, {t}) THEN 1.0D WHEN exists({others}, o -> length({t}) >= 4 AND length(o) >= 4 AND (left({t}, 3) = left(o, 3) OR right({t}, 3) = right(o, 3)) AND abs(length({t}) - length(o)) <= 2) THEN 0.7D ELSE 0.0D END"
 
 
-def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro similarity, raised by the common prefix where it is above 0.7."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used = [False] * len(b)
-    left = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    right = [c for c, u in zip(b, used, strict=True) if u]
-    m, moved = len(left), sum(p != q for p, q in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    same = 0
-    for p, q in zip(a[:4], b[:4]):
-        if p != q:
-            break
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a row each, filled with -1; and their lengths."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), max(1, sizes.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def _in_order(codes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen characters of each row, moved to its front."""
+    out = np.full(codes.shape, -1, np.int64)
+    row, column = np.nonzero(chosen)
+    out[row, (np.cumsum(chosen, 1) - 1)[row, column]] = codes[row, column]
+    return out
+
+
+def jaro_winkler_of(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro similarity of each pair, raised by the common prefix where it is above 0.7; all pairs at once.
+
+    Common characters lie at most half the longer length, less one, apart; every character of the left
+    text takes the first free one of the right.
+    """
+    (a, n), (b, m) = _codes(left), _codes(right)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    place = np.arange(b.shape[1])
+    met, taken = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    rows = np.arange(len(a))
+    for k in range(a.shape[1]):
+        free = (b == a[:, k : k + 1]) & ~taken & (np.abs(place - k) <= reach) & (a[:, k : k + 1] >= 0)
+        met[:, k] = free.any(1)
+        taken[rows[met[:, k]], free.argmax(1)[met[:, k]]] = True
+    common = met.sum(1)
+    width = min(a.shape[1], b.shape[1])
+    swapped = (_in_order(a, met)[:, :width] != _in_order(b, taken)[:, :width]).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(common > 0, (common / n + common / m + (common - swapped) / common) / 3, 0.0)
+    jaro[(n == 0) & (m == 0)] = 1.0
+    first = min(4, width)
+    prefix = np.cumprod((a[:, :first] == b[:, :first]) & (a[:, :first] >= 0), 1).sum(1)
+    return np.where((jaro > 0.7) & (common > 0), jaro + prefix * 0.1 * (1 - jaro), jaro)
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -91,23 +106,35 @@ def partial_of(a: str, b: str) -> float:
 
 
 def _pairwise(function):
+    """An Arrow function of two text columns; ``function`` gets lists of distinct pairs, 2000 at a time."""
+
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else function(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
+        whole = a.notna() & b.notna()
+        pairs = pd.MultiIndex.from_arrays([a[whole], b[whole]])
+        of, distinct = pairs.factorize()
+        values = np.concatenate([np.zeros(0), *(function(*map(list, zip(*distinct[k : k + 2000], strict=True))) for k in range(0, len(distinct), 2000))])
+        out = pd.Series(np.nan, index=a.index, dtype="float64")
+        out[whole] = values[of]
+        return out.astype(object).where(whole, None)
 
     return run
 
 
+def _each(function):
+    return lambda left, right: np.fromiter(map(function, left, right), float, len(left))
+
+
 def jaro_winkler(a, b):
     return _pairwise(jaro_winkler_of)(a, b)
 
 
 def token_set_ratio(a, b):
-    return _pairwise(token_set_of)(a, b)
+    return _pairwise(_each(token_set_of))(a, b)
 
 
 def partial_ratio(a, b):
-    return _pairwise(partial_of)(a, b)
+    return _pairwise(_each(partial_of))(a, b)
 
 
 _SOUNDS = {c: d for d, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}

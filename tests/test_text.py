@@ -63,5 +63,69 @@ def test_similarities(spark):
     words = spark.createDataFrame([(["laxmi", "tymczak", "pfister", "ashcraft"],)], "w array<string>")
     assert words.select(S.sounds("w").alias("s")).first()["s"] == ["l250", "t522", "p236", "a261"]
     assert S.token_set_of("a b c", "c b a d") == 1.0 and S.partial_of("abc", "xxabcxx") == 1.0
-    assert S.jaro_winkler_of("abcd", "abzzzzzz") == pytest.approx(0.583333, abs=1e-6)
+    assert S.jaro_winkler_of(["abcd"], ["abzzzzzz"])[0] == pytest.approx(0.583333, abs=1e-6)
+
+
+def _words(pick, n):
+    return [" ".join("".join(pick.choice("abcé漢") for _ in range(pick.randrange(0, 6))) for _ in range(pick.randrange(0, 4))).strip() for _ in range(n)]
+
+
+def test_jaro_winkler_against_sql():
+    """All pairs at once, against DuckDB's function."""
+    import random
+
+    import duckdb
+
+    pick = random.Random(6)
+    left = ["", "", "a", "martha", "dixon", "dwayne", *("".join(pick.choice("abcd") for _ in range(pick.randrange(0, 14))) for _ in range(600))]
+    right = ["", "b", "a", "marhta", "dicksonx", "duane", *("".join(pick.choice("abcd") for _ in range(pick.randrange(0, 14))) for _ in range(600))]
+    con = duckdb.connect()
+    want = [con.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0] if a or b else 1.0 for a, b in zip(left, right)]
+    assert S.jaro_winkler_of(left, right).tolist() == pytest.approx(want, abs=1e-9)
+
+
+def test_ratios_against_brute_force(spark):
+    """Indel, partial and token-set ratios against a table of longest common subsequences."""
+    import random
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def shared(a, b):
+        if not a or not b:
+            return 0
+        return shared(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(shared(a[:-1], b), shared(a, b[:-1]))
+
+    def ratio(a, b):
+        return 1.0 if not a and not b else 2 * shared(a, b) / (len(a) + len(b))
+
+    def partial(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 1.0 if not b else 0.0
+        # windows as long as the shorter text, and shorter ones at both ends
+        windows = {b[i : i + len(a)] for i in range(len(b) - len(a) + 1)} | {b[:k] for k in range(1, len(a))} | {b[-k:] for k in range(1, len(a))}
+        return max(ratio(a, w) for w in windows)
+
+    def token_set(a, b):
+        x, y = set(a.split()), set(b.split())
+        if not x or not y:
+            return 0.0
+        both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
+        return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else (0,)))
+
+    pick = random.Random(5)
+    left, right = _words(pick, 150), _words(pick, 150)
+    for a, b in zip(left, right):
+        assert S.common_subsequence(a, b) == shared(a, b) and S.indel_ratio(a, b) == pytest.approx(ratio(a, b))
+        assert S.partial_of(a, b) == pytest.approx(partial(a, b)), (a, b)
+        assert S.token_set_of(a, b) == pytest.approx(token_set(a, b))
+    rows = [(a, b) for a, b in zip(left, right)] + [(None, "x"), ("x", None), (left[0], right[0])]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(2)
+    got = df.select("a", "b", S.partial_ratio("a", "b").alias("p"), S.token_set_ratio("a", "b").alias("t"), S.jaro_winkler("a", "b").alias("j")).collect()
+    for r in got:
+        if r["a"] is None or r["b"] is None:
+            assert r["p"] is r["t"] is r["j"] is None
+        else:
+            assert (r["p"], r["t"], r["j"]) == pytest.approx((partial(r["a"], r["b"]), token_set(r["a"], r["b"]), S.jaro_winkler_of([r["a"]], [r["b"]])[0]))
     assert spark.createDataFrame([(["mg", "rd", "bengaluru"],), (["one", "two", "three"],)], "a array<string>").select(F.expr(street("a")).alias("s")).collect() == [("mg rd",), ("one two",)]
