@@ -25,9 +25,11 @@ def expand(pool: DataFrame, keys: DataFrame, weights: DataFrame, max_df: int = 3
     near = score_pairs(seed_keys, candidates, weights, max_df).select("country", F.col("s1").alias("seed"), F.col("cand"), F.col("sc").alias("s"))
     near = _top(near, "seed", "s", hits, "cand").where("seed <> cand")
     found = seeds.join(near, ["country", "seed"]).groupBy("country", "s1", "cand").agg(F.max("s").alias("esc"), F.count(F.lit(1)).cast("int").alias("en"))
-    kept = pool.join(found, ["country", "s1", "cand"], "left").fillna({"esc": 0.0, "en": 0}).withColumn("from_exp", F.lit(0))
-    new = _top(found.join(pool.select("country", "s1", "cand"), ["country", "s1", "cand"], "left_anti"), "s1", "esc", n_exp, "cand").withColumn("from_exp", F.lit(1))
-    return kept.unionByName(new, allowMissingColumns=True).fillna(0)
+    # one join tells what is in the pool, what the neighbours found, and what both have
+    both = pool.withColumn("_in", F.lit(True)).join(found, ["country", "s1", "cand"], "full")
+    both = both.withColumn("from_exp", F.when(F.col("_in"), 0).otherwise(1)).drop("_in").fillna(0)
+    place = F.row_number().over(Window.partitionBy("s1", "from_exp").orderBy(F.desc("esc"), "cand"))
+    return both.withColumn("_r", place).where((F.col("from_exp") == 0) | (F.col("_r") <= n_exp)).drop("_r")
 
 
 def query_context(pool: DataFrame) -> DataFrame:
@@ -51,10 +53,14 @@ def competition(pool: DataFrame) -> DataFrame:
 
 
 def build(rec: DataFrame, max_df: int = 300, top: int = 30, side: int = 3, n_seed: int = 3, n_exp: int = 5) -> DataFrame:
-    """The whole pool of all countries."""
-    keys = key_rows(rec)
+    """The whole pool of all countries.
+
+    The keys and the direct pool are each used several times; both are kept, in memory and on disk,
+    until the caller clears them.
+    """
+    keys = key_rows(rec).persist()
     weights = key_weights(keys.where("src > 1"), rec.where("src > 1"))
-    direct = side_slots(ranks(score_pairs(keys.where("src = 1"), keys.where("src > 1"), weights, max_df, detail=True)), top, side).drop("brank", "rank_n", "rank_a")
+    direct = side_slots(ranks(score_pairs(keys.where("src = 1"), keys.where("src > 1"), weights, max_df, detail=True)), top, side).drop("brank", "rank_n", "rank_a").persist()
     return competition(query_context(expand(direct, keys, weights, max_df, n_seed, n_exp)))
 
 
