@@ -79,6 +79,13 @@ def new_pairs(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     return pairs.join(scored.select("s1", "cand").distinct(), ["s1", "cand"], "left_anti")
 
 
+def tagged(parts: dict[str, DataFrame]) -> DataFrame:
+    """(s1, cand, split): one list of pairs for an outside model, each named by the part it came from."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [pairs.select("s1", "cand", F.lit(name).alias("split")) for name, pairs in parts.items()])
+
+
 def expected_f_subset(scored: DataFrame) -> DataFrame:
     """Pairs of each query's best set by expected F0.5; none where no set beats the chance that nothing matches."""
     w = Window.partitionBy("s1").orderBy(F.desc("p"), "cand")

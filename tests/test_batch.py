@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from linkstone.operators import model
-from linkstone.plans import pipeline
+from linkstone.operators import decide, model
+from linkstone.plans import check, pipeline
 from linkstone.plans.records import records
 from linkstone.sources import records as io
 
@@ -35,6 +35,11 @@ def test_tables_and_ids(spark, tmp_path):
     assert all(r[0] == r[1] for r in numbers.select("entity_id", io.id_text("n")).collect())
 
 
+def test_tagged_pairs(spark):
+    a, b = (spark.createDataFrame([(x, "S2-1")], "s1 string, cand string") for x in ("S1-1", "S1-2"))
+    assert sorted(tuple(r) for r in decide.tagged({"val": a, "test": b}).collect()) == [("S1-1", "S2-1", "val"), ("S1-2", "S2-1", "test")]
+
+
 def test_plug_in(spark):
     pairs = spark.createDataFrame([("a b", "a"), ("x", "y")], "text1 string, text2 string")
     got = model.plug_in(pairs, lambda a, b: (a.str[0] == b.str[0]).astype(float)).collect()
@@ -70,6 +75,12 @@ def test_whole_job(spark, tmp_path):
     report = pipeline.report(spark, str(data), str(tmp_path / "work"), (2, 8)).collect()
     recall = {(r["country"], r["budget"]): r["recall"] for r in report}
     assert len(recall) == 6 and all(recall[c, 2.0] <= recall[c, 8.0] and recall[c, 8.0] > 0.8 for c in ("en", "de", "es"))
+    assert check.main(["--data", str(data), "--out", str(tmp_path / "out"), "--candidates"]) == 0
+    (tmp_path / "bad" / "matching_results").mkdir(parents=True)
+    (tmp_path / "bad" / "matching_results" / "part").write_text("source1_entity_id\tmatched\nS1-1\tS2-999999999,S1-2\nno tab\n")
+    faults = {r["check"]: r["n"] for r in check.check(spark, str(data), str(tmp_path / "bad")).collect()}
+    assert faults["header"] == faults["malformed"] == faults["unknown_id"] == faults["self_match"] == 1 and faults["missing_row"] > 50
+    assert check.main(["--data", str(data), "--out", str(tmp_path / "bad")]) == 1
     again = pipeline.io.model_once(spark, str(tmp_path / "work" / "ranker"), lambda: 1 / 0)
     assert len(again.stages) == 2
     spark.catalog.clearCache()
