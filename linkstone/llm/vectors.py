@@ -85,8 +85,9 @@ def against(queries: DataFrame, candidates: DataFrame, start: Callable, kernel:
         for state in states.values():
             yield finish(state)
 
-    # the candidates come first: the other side of a sorted join is held for each key
-    return dealt.join(asked, ["qpart", "group"]).mapInArrow(run, schema)
+    # sorted at every size, or a group's blocks would not meet in one task; the candidates come first,
+    # as the other side of a sorted join is held for each key
+    return dealt.join(asked.hint("merge"), ["qpart", "group"]).mapInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int, *order: Column) -> DataFrame:
