@@ -48,22 +48,34 @@ def _in(kinds: dict[str, int], value: int) -> Column:
     return F.substring("key", 1, 1).isin([k for k, v in kinds.items() if v == value])
 
 
+def postings(candidate_keys: DataFrame, usable: DataFrame) -> DataFrame:
+    """(country, key, df, idf, cands): the ids of each usable key's candidates in order, joined by tabs, which no id of a tab-separated file has."""
+    return candidate_keys.join(usable, ["country", "key"]).groupBy("country", "key").agg(F.first("df").alias("df"), F.first("idf").alias("idf"), F.array_join(F.array_sort(F.collect_list("id")), "\t").alias("cands"))
+
+
 def score_pairs(query_keys: DataFrame, candidate_keys: DataFrame, weights: DataFrame, max_df: int = 300, detail: bool = False, cap: Column | None = None) -> DataFrame:
     """(country, s1, cand, sc, sn, sa, nkeys[, maxidf, g0..g5]) of all pairs that share a key of at most ``max_df`` candidates.
 
     The cap comes before the join: a key gives each query at most ``max_df`` rows, whatever its
-    frequency.  ``cap`` is a condition on query and weight columns in place of it.
+    frequency.  ``cap`` is a condition on query and weight columns in place of it.  A key's candidates
+    travel as one text to each of its queries, dealt by s1; pairs are made and summed there, and what
+    works on the pairs of a query next needs no other exchange.
     """
     usable = weights.where(F.col("df") <= max_df) if cap is None else weights
-    q = query_keys.withColumnRenamed("id", "s1").drop("src").join(usable, ["country", "key"])
+    return score_postings(query_keys, postings(candidate_keys, usable), detail, cap)
+
+
+def score_postings(query_keys: DataFrame, lists: DataFrame, detail: bool = False, cap: Column | None = None) -> DataFrame:
+    """The pairs of ``score_pairs`` by the candidates of each key (``postings``)."""
+    q = query_keys.withColumnRenamed("id", "s1").drop("src").join(lists, ["country", "key"])
     if cap is not None:
         q = q.where(cap)
-    c = candidate_keys.select("country", "key", F.col("id").alias("cand"))
+    sent = q.select("country", "s1", F.substring("key", 1, 1).alias("key"), "idf", "cands").repartition("s1")
     part = lambda kinds, v: F.sum(F.when(_in(kinds, v), F.col("idf")).otherwise(0.0))
     aggs = [F.round(F.sum("idf"), 6).alias("sc"), F.round(part(CHANNEL, 0), 6).alias("sn"), F.round(part(CHANNEL, 1), 6).alias("sa"), F.count(F.lit(1)).cast("int").alias("nkeys")]
     if detail:
         aggs += [F.round(F.max("idf"), 6).alias("maxidf"), *(F.sum(_in(GROUP, g).cast("int")).cast("int").alias(f"g{g}") for g in range(6))]
-    return q.join(c, ["country", "key"]).groupBy("country", "s1", "cand").agg(*aggs)
+    return sent.select("country", "s1", "key", "idf", F.explode(F.split("cands", "\t")).alias("cand")).groupBy("country", "s1", "cand").agg(*aggs)
 
 
 def ranks(pairs: DataFrame, group: str = "s1") -> DataFrame:

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstone.operators.blocking import key_rows, key_weights, ranks, score_pairs, side_slots
+from linkstone.operators.blocking import key_rows, key_weights, postings, ranks, score_postings, side_slots
+from linkstone.sources.stages import staged
 
 
 def _top(df: DataFrame, group: str, score: str, k: int, tie: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))).where(F.col("_r") <= k).drop("_r")
 
 
-def expand(pool: DataFrame, keys: DataFrame, weights: DataFrame, max_df: int = 300, n_seed: int = 3, n_exp: int = 5, hits: int = 10) -> DataFrame:
+def expand(pool: DataFrame, rec: DataFrame, lists: DataFrame, n_seed: int = 3, n_exp: int = 5, hits: int = 10) -> DataFrame:
     """Neighbours of each query's best candidates join the pool.
 
-    The first ``n_seed`` candidates are queries in the candidate index; of each one's ``hits`` best
-    (itself among them, then left out) a query gets esc, the best score, and en, the seeds that found
-    it.  Pairs already in the pool get both; of the others the ``n_exp`` best come in with from_exp 1.
+    The first ``n_seed`` candidates are queries in the candidate index (``lists``: its postings); of
+    each one's ``hits`` best (itself among them, then left out) a query gets esc, the best score, and
+    en, the seeds that found it.  Pairs already in the pool get both; of the others the ``n_exp`` best
+    come in with from_exp 1.
     """
     seeds = _top(pool, "s1", "sc", n_seed, "cand").select("country", "s1", F.col("cand").alias("seed"))
-    candidates = keys.where("src > 1")
-    seed_keys = candidates.join(seeds.select("country", F.col("seed").alias("id")).distinct(), ["country", "id"], "left_semi")
-    near = score_pairs(seed_keys, candidates, weights, max_df).select("country", F.col("s1").alias("seed"), F.col("cand"), F.col("sc").alias("s"))
-    near = _top(near, "seed", "s", hits, "cand").where("seed <> cand")
-    found = seeds.join(near, ["country", "seed"]).groupBy("country", "s1", "cand").agg(F.max("s").alias("esc"), F.count(F.lit(1)).cast("int").alias("en"))
-    # one join tells what is in the pool, what the neighbours found, and what both have
-    both = pool.withColumn("_in", F.lit(True)).join(found, ["country", "s1", "cand"], "full")
+    asked = rec.where("src > 1").join(seeds.select("country", F.col("seed").alias("entity_id")).distinct(), ["country", "entity_id"], "left_semi")
+    near = score_postings(key_rows(asked), lists).select("country", F.col("s1").alias("seed"), F.col("cand"), F.col("sc").alias("s"))
+    near = staged(_top(near, "seed", "s", hits, "cand").where("seed <> cand"), "near")
+    found = seeds.join(near, ["country", "seed"]).select("country", "s1", "cand", F.col("s").alias("_s"))
+    # dealt by s1 once: what is in the pool and what the neighbours found meet there, and all places of a query are taken there
+    own = [c for c in pool.columns if c not in ("country", "s1", "cand")]
+    rows = pool.withColumn("_s", F.lit(None).cast("double")).unionByName(found, allowMissingColumns=True).repartition("s1")
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in own]
+    both = rows.groupBy("country", "s1", "cand").agg(*kept, F.max("_s").alias("esc"), F.count("_s").cast("int").alias("en"), F.max(F.col("_s").isNull()).alias("_in"))
     both = both.withColumn("from_exp", F.when(F.col("_in"), 0).otherwise(1)).drop("_in").fillna(0)
     place = F.row_number().over(Window.partitionBy("s1", "from_exp").orderBy(F.desc("esc"), "cand"))
     return both.withColumn("_r", place).where((F.col("from_exp") == 0) | (F.col("_r") <= n_exp)).drop("_r")
@@ -55,13 +59,15 @@ def competition(pool: DataFrame) -> DataFrame:
 def build(rec: DataFrame, max_df: int = 300, top: int = 30, side: int = 3, n_seed: int = 3, n_exp: int = 5) -> DataFrame:
     """The whole pool of all countries.
 
-    The keys and the direct pool are each used several times; both are kept, in memory and on disk,
-    until the caller clears them.
+    The postings and the direct pool are each used twice; both are stage tables, as are the seeds'
+    neighbours.
     """
-    keys = key_rows(rec).persist()
-    weights = key_weights(keys.where("src > 1"), rec.where("src > 1"))
-    direct = side_slots(ranks(score_pairs(keys.where("src = 1"), keys.where("src > 1"), weights, max_df, detail=True)), top, side).drop("brank", "rank_n", "rank_a").persist()
-    return competition(query_context(expand(direct, keys, weights, max_df, n_seed, n_exp)))
+    keys = key_rows(rec)
+    candidates = keys.where("src > 1")
+    weights = key_weights(candidates, rec.where("src > 1"))
+    lists = staged(postings(candidates, weights.where(F.col("df") <= max_df)), "postings")
+    direct = staged(side_slots(ranks(score_postings(keys.where("src = 1"), lists, detail=True)), top, side).drop("brank", "rank_n", "rank_a"), "direct")
+    return competition(query_context(expand(direct, rec, lists, n_seed, n_exp)))
 
 
 def nth_highest(values: DataFrame, n: int, bins: int = 4096) -> float | None:
@@ -85,18 +91,28 @@ def nth_highest(values: DataFrame, n: int, bins: int = 4096) -> float | None:
     return low
 
 
+def placed(pairs: DataFrame, score: str) -> DataFrame:
+    """Adds _r, a pair's place from 1 among its query's."""
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("s1").orderBy(F.desc(score), "cand")))
+
+
+def cut(places: DataFrame, score: str, budget: float, min_keep: int = 1) -> DataFrame:
+    """``select`` of pairs that have their places (_r)."""
+    ranked = places.where(F.col("_r") <= int(2 * budget + 5))
+    queries, forced = ranked.agg(F.sum((F.col("_r") == 1).cast("int")), F.sum((F.col("_r") <= min_keep).cast("int"))).first()
+    values = ranked.where(F.col("_r") > min_keep).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("many")).persist()
+    least = nth_highest(values, max(1, int(budget * (queries or 0)) - (forced or 0)))
+    values.unpersist()
+    kept = ranked if least is None else ranked.where((F.col("_r") <= min_keep) | (F.col(score) >= F.lit(least)))
+    return kept.withColumn("rrank", (F.col("_r") - 1).cast("int")).drop("_r")
+
+
 def select(pairs: DataFrame, score: str, budget: float, min_keep: int = 1) -> DataFrame:
     """Pairs within a global budget of ``budget`` candidates a query.
 
     Each query's ``min_keep`` best are kept; the others compete for what is left of budget times
     queries, one place at least, and ties at the cut all stay.  A query's tail beyond twice the
     budget and five is dropped before.  The cut is one number, found by histograms: nothing is
-    sorted over all pairs and no task sees more than its share.
+    sorted over all pairs and no task sees more than its share.  The places are taken once.
     """
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("s1").orderBy(F.desc(score), "cand"))).where(F.col("_r") <= int(2 * budget + 5))
-    queries, forced = ranked.agg(F.count_distinct("s1"), F.sum((F.col("_r") <= min_keep).cast("int"))).first()
-    values = ranked.where(F.col("_r") > min_keep).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("many")).persist()
-    cut = nth_highest(values, max(1, int(budget * queries) - (forced or 0)))
-    values.unpersist()
-    kept = ranked if cut is None else ranked.where((F.col("_r") <= min_keep) | (F.col(score) >= F.lit(cut)))
-    return kept.withColumn("rrank", (F.col("_r") - 1).cast("int")).drop("_r")
+    return cut(staged(placed(pairs, score), "places"), score, budget, min_keep)
