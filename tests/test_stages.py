@@ -36,3 +36,7 @@ def test_pairs_are_summed_where_a_query_lies(spark):
 
 def test_query_expansion_stages(spark):
     _bounded(spark, "er_query_expansion", 3)
+
+
+def test_s1_context_stages(spark):
+    _bounded(spark, "er_s1_context", 3)
