@@ -40,3 +40,7 @@ def test_query_expansion_stages(spark):
 
 def test_s1_context_stages(spark):
     _bounded(spark, "er_s1_context", 3)
+
+
+def test_cand_competition_stages(spark):
+    _bounded(spark, "er_cand_competition", 4)
