@@ -12,6 +12,7 @@ from linkstone.operators import blocking, decide, features, metrics, model, pool
 from linkstone.plans.oracle import ORACLE_SQL  # noqa: F401
 from linkstone.plans.records import native_pairs, noisy_records, records
 from linkstone.sources.records import id_lists
+from linkstone.sources.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,7 +285,10 @@ def er_agree_table(spark, sf_dir):
 @query
 def er_sibling_stats(spark, sf_dir):
     rec = _rec(spark, sf_dir)
-    out = features.sibling_stats(_attached(rec), tables.extra_tokens(_labelled(rec), min_support=5), tables.agreement(_attached(rec), min_support=5))
+    attached = staged(_attached(rec).select("country", "s1", "cand", "core1", "core2", "nums1", "nums2"), "attached")
+    extra = staged(tables.extra_tokens(model.label(attached, _gold(rec)), min_support=5), "extra-tokens")
+    agree = staged(tables.agreement(attached, min_support=5), "agreement")
+    out = features.sibling_stats(attached, extra, agree)
     return out.select("s1", "cand", "x2_sib_max", "x2_sib_mean", "x2_n_sib", "x2_n_noise", "x2_n_unk", "x2_agree_min", "x2_n_lowagree", "x1_sib_max", "x1_n_sib", "x1_n_noise", "x1_agree_min", "x1_n_lowagree")
 
 

@@ -59,3 +59,7 @@ def test_budget_report_counts_each_budget(spark):
         plain = metrics.recall_ceiling(pool.select(pairs, "sc", budget), gold, queries).first()
         assert got[budget] == (plain["n_gold"], plain["found"], plain["per_query"])
     assert got[1.5][:2] == (3, 2)
+
+
+def test_sibling_stats_stages(spark):
+    _bounded(spark, "er_sibling_stats", 6)
