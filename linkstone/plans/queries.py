@@ -169,7 +169,7 @@ def er_budget_recall(spark, sf_dir):
 def er_ranker(spark, sf_dir):
     """The pool ranked by a model fitted on other queries, cut to four candidates a query."""
     rec = _rec(spark, sf_dir)
-    rows = model.split(ranker.text_features(pool.build(rec), rec)).persist()
+    rows = staged(model.split(ranker.text_features(pool.build(rec), rec)), "ranker-rows")
     fitted = ranker.fit(rows.where("fold = 'train'").drop("fold"), _gold(rec), trees=10, depth=4)
     held = ranker.apply(rows.where("fold <> 'train'").drop("fold"), fitted)
     return pool.select(held, "rp", 4.0).select("s1", "cand", F.round("rp", 4).alias("rp"), "rrank")

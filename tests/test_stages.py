@@ -63,3 +63,7 @@ def test_budget_report_counts_each_budget(spark):
 
 def test_sibling_stats_stages(spark):
     _bounded(spark, "er_sibling_stats", 6)
+
+
+def test_ranker_stages(spark):
+    _bounded(spark, "er_ranker", 0)
