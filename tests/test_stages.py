@@ -67,3 +67,7 @@ def test_sibling_stats_stages(spark):
 
 def test_ranker_stages(spark):
     _bounded(spark, "er_ranker", 0)
+
+
+def test_validate_output_stages(spark):
+    _bounded(spark, "er_validate_output", 12)
