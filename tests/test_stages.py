@@ -75,3 +75,7 @@ def test_validate_output_stages(spark):
 
 def test_miss_taxonomy_stages(spark):
     _bounded(spark, "er_miss_taxonomy", 15)
+
+
+def test_pair_features_stages(spark):
+    _bounded(spark, "er_pair_features", 15)
