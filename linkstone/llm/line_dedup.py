@@ -12,11 +12,13 @@ texts hold is no larger a group than any other.  Should two chunks with one dige
 their bytes, all chunks of that digest stay.
 
 Boundaries are sparse, so chunks miss repeats that are short or lie across an edge.  With ``runs``
-(as the query and the pipeline have it) every window of two lines is compared instead, and a line
+(as the query has it) every window of two lines is compared instead, and a line
 goes when a window it is in has an earlier place, so every repeated run of two lines or more goes
 whole.  Windows that overlap the first place of their own lines do not count (of "a a a" nothing
 goes, of "a a a a" two lines).  Every line that goes stays at an earlier place; the first place of a
 run may itself lose lines to a still earlier run.  ``chunks_gone_`` counts the stretches removed.
+With ``chunked`` as well (the pipeline's way) the chunks find most of these lines, and only the
+windows outside repeated chunks are compared.
 
 Defined results: rows with a null id are left as they are; a null text stays null; an empty text is one empty line; a text of one line is
 never changed; rows that repeat an id and text are all treated as that one; a text that is removed
@@ -71,36 +73,63 @@ def digest(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode())
 
 
-def removals(docs: DataFrame, window: int, every: int, runs: bool = False) -> DataFrame:
-    """(id, gone array<struct<place int, digest binary>>): the chunks (with ``runs``: pairs of lines) to remove from each text."""
+def _inside(text: str, gone: list[dict] | None, window: int, every: int) -> set[int]:
+    """The places of a text's pairs of lines that lie within one of its chunks marked as gone."""
+    known, out, line = {p["place"]: p["digest"] for p in gone or ()}, set(), 0
+    if known:
+        for place, chunk in enumerate(chunks(text, window, every)):
+            if place in known and digest("\n".join(chunk)) == known[place]:
+                out |= set(range(line, line + len(chunk) - 1))
+            line += len(chunk)
+    return out
+
+
+def removals(docs: DataFrame, window: int, every: int, runs: bool = False, chunked: bool = False) -> DataFrame:
+    """(id, gone array<struct<place int, digest binary>>): the chunks (with ``runs``: pairs of lines) to remove from each text.
+
+    With ``chunked`` the repeated chunks come first: pairs of lines within them are gone by that, and
+    only the others, of the lines that chunks leave or cut, are compared.  The lines that go are the same:
+    a pair in a repeated chunk has an earlier place, that of the chunk's first occurrence.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, places, texts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, places, texts, digests, done = [], [], [], [], []
+            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 whole = pairs(text) if runs else ["\n".join(c) if len(c) > 1 else None for c in chunks(text, window, every)]
+                known = _inside(text, marks, window, every)
                 for place, chunk in enumerate(whole):
                     if chunk is not None:
                         ids.append(key)
                         places.append(place)
-                        texts.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts], pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["digest", "id", "place", "chunk"])
-
-    found = docs.where("text IS NOT NULL").mapInArrow(cut, "digest binary, id long, place int, chunk string")
+                        digests.append(digest(chunk))
+                        done.append(place in known)
+                        texts.append(None if done[-1] else chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(done, pa.bool_())], names=["digest", "id", "place", "chunk", "done"])
+
+    docs = docs.where("text IS NOT NULL")
+    no_marks = F.lit(None).cast("array<struct<place int, digest binary>>").alias("marks")
+    if runs and chunked:
+        marks = removals(docs, window, every).withColumnRenamed("gone", "marks")
+        marked = stash(docs.join(marks.hint("merge"), "id", "left").select("id", "text", "marks"), "marked")
+    else:
+        marked = docs.select("id", "text", no_marks)
+    found = marked.mapInArrow(cut, "digest binary, id long, place int, chunk string, done boolean")
     # grouping by the bytes is the comparison
-    by_bytes = found.groupBy("digest", "chunk").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    by_bytes = found.where("NOT done").groupBy("digest", "chunk").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("copies").alias("copies"))
     groups = stash(groups.where("texts = 1 AND copies > 1").select("digest", "first"), "repeated")
-    places = stash(found.select("digest", "id", "place"), "chunks")
+    places = stash(found.select("digest", "id", "place", "done"), "chunks")
     # a pair one line after the first shares a line with it
     own = F.col("first.place") + 1 if runs else F.col("first.place")
-    gone = places.join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("place") < F.col("first.place")) | (F.col("place") > own))
+    gone = places.where("NOT done").join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("place") < F.col("first.place")) | (F.col("place") > own))
+    gone = gone.select("id", "place", "digest").unionByName(places.where("done").select("id", "place", "digest"))
     return stash(gone.groupBy("id").agg(F.collect_set(F.struct("place", "digest")).alias("gone")), "removals")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, every: int = 3, runs: bool = False) -> DataFrame:
-    """``df`` with the repeated chunks (with ``runs``: all repeated runs of lines) out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long) in place of columns of these names."""
-    gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every, runs)
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, every: int = 3, runs: bool = False, chunked: bool = False) -> DataFrame:
+    """``df`` with the repeated chunks (with ``runs``: all repeated runs of lines, with ``chunked`` by chunks first) out of its texts, and lines_before_, lines_gone_, chunks_gone_ (long) in place of columns of these names."""
+    gone = removals(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, every, runs, chunked)
     df = df.drop("lines_before_", "lines_gone_", "chunks_gone_")
     key, marked = fresh(df, "key_", "gone_")
     # a sorted join at every size: the list of removals grows with the texts

@@ -102,3 +102,24 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_goes_by_chunks_first(spark, monkeypatch):
+    """The chunks of the rolling hash are grouped first; the lines that go are those of all windows."""
+    import random
+
+    import corpus_pipeline
+    from linkstone.llm import line_dedup
+
+    dice = random.Random(5)
+    rows = [(k if k else None, "\n".join(dice.choice(["a", "b", "c", f"w{dice.randrange(40)}"]) for _ in range(dice.randrange(0, 40)))) for k in range(120)]
+    passage = "\n".join(f"line {k}" for k in range(30))
+    rows += [(200 + k, f"{k}\n{passage}\n{k + 1}") for k in range(8)] + [(300, None), (301, "a\na\na\na\na\na")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    inner = line_dedup.removals
+    monkeypatch.setattr(line_dedup, "removals", lambda *a, **b: seen.append(a[3:]) or inner(*a, **b))
+    got = sorted(corpus_pipeline.drop_repeated_lines(spark, docs, "").collect(), key=repr)
+    assert len(seen) == 2  # all windows, and before them the chunks
+    want = sorted(line_dedup.dedup(docs, runs=True).select("doc_id", "text").collect(), key=repr)
+    assert got == want and sum(r["text"] is not None and "line 5" in r["text"] for r in got) == 1
