@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkstone.functions.dictionaries import ADDRESS_STOP
 from linkstone.functions.text import words_sql
+from linkstone.sources.stages import staged
 
 #: Channel of each key type: 0 name, 1 address, 2 mixed; and its group in the candidate pool.
 CHANNEL = {"c": 0, "s": 0, "p": 0, "u": 0, "a": 1, "x": 2, "n": 2, "m": 2, "z": 2}
 GROUP = {"c": 0, "s": 0, "p": 1, "u": 1, "n": 2, "m": 2, "a": 3, "x": 4, "z": 5}
 
+#: What ``best_postings`` returns, and the rows of keys that are made into pairs at once.
+BEST = "country string, s1 string, cand string, sc double, sn double, sa double, nkeys int, maxidf double, g0 int, g1 int, g2 int, g3 int, g4 int, g5 int"
+SLICE = 2000
+
 
 def with_keys(rec: DataFrame) -> DataFrame:
     """Adds keys array<string>, a set: all blocking keys of the record."""
@@ -65,12 +76,17 @@ def score_pairs(query_keys: DataFrame, candidate_keys: DataFrame, weights: DataF
     return score_postings(query_keys, postings(candidate_keys, usable), detail, cap)
 
 
-def score_postings(query_keys: DataFrame, lists: DataFrame, detail: bool = False, cap: Column | None = None) -> DataFrame:
-    """The pairs of ``score_pairs`` by the candidates of each key (``postings``)."""
+def _sent(query_keys: DataFrame, lists: DataFrame, cap: Column | None = None) -> DataFrame:
+    """The candidates of each of a query's keys, dealt by s1."""
     q = query_keys.withColumnRenamed("id", "s1").drop("src").join(lists, ["country", "key"])
     if cap is not None:
         q = q.where(cap)
-    sent = q.select("country", "s1", F.substring("key", 1, 1).alias("key"), "idf", "cands").repartition("s1")
+    return q.select("country", "s1", F.substring("key", 1, 1).alias("key"), "idf", "cands").repartition("s1")
+
+
+def score_postings(query_keys: DataFrame, lists: DataFrame, detail: bool = False, cap: Column | None = None) -> DataFrame:
+    """The pairs of ``score_pairs`` by the candidates of each key (``postings``)."""
+    sent = _sent(query_keys, lists, cap)
     part = lambda kinds, v: F.sum(F.when(_in(kinds, v), F.col("idf")).otherwise(0.0))
     aggs = [F.round(F.sum("idf"), 6).alias("sc"), F.round(part(CHANNEL, 0), 6).alias("sn"), F.round(part(CHANNEL, 1), 6).alias("sa"), F.count(F.lit(1)).cast("int").alias("nkeys")]
     if detail:
@@ -89,6 +105,80 @@ def side_slots(ranked: DataFrame, top: int = 12, side: int = 3) -> DataFrame:
     return ranked.where((F.col("brank") < top) | ((F.col("rank_n") < side) & (F.col("sn") > 0)) | ((F.col("rank_a") < side) & (F.col("sa") > 0)))
 
 
+def best_postings(query_keys: DataFrame, lists: DataFrame, top: int, side: int, what: str, rounds: int = 2) -> DataFrame:
+    """``side_slots`` of the ranked pairs of ``score_postings`` with detail, without their places: stage tables of ``what``.
+
+    The queries are dealt into ``rounds`` parts by their ids, one after the other, so no more than
+    a part's lists lie in shuffle files at once.  Pairs are summed and placed by Arrow batches, and only
+    those that stay are rows.
+    """
+    keep = lambda batches: _kept(batches, top, side)
+    part = lambda r: query_keys.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
+    return reduce(DataFrame.unionByName, [staged(_sent(part(r), lists).sortWithinPartitions("s1", "country").mapInArrow(keep, BEST), what) for r in range(rounds)])
+
+
+def _kept(batches: Iterable[pa.RecordBatch], top: int, side: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that stay of rows (country, s1, key, idf, cands) in order of s1; a query's rows are taken together."""
+    held = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            rows = pa.Table.from_batches([batch.slice(start, SLICE)])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = pc.index(rows["s1"], rows["s1"][-1]).as_py()
+            if last:
+                yield _summed(rows.slice(0, last), top, side)
+            held = rows.slice(last)
+    if held is not None:
+        yield _summed(held, top, side)
+
+
+def _summed(rows: pa.Table, top: int, side: int) -> pa.RecordBatch:
+    """The pairs that stay of whole queries."""
+    country, s1, key, idf, cands = (rows[c].combine_chunks() for c in ("country", "s1", "key", "idf", "cands"))
+    lists = pc.split_pattern(cands, "\t")
+    sizes = lists.value_lengths().to_numpy()
+    coded, query, place, kind = lists.flatten().dictionary_encode(), s1.dictionary_encode(), country.dictionary_encode(), key.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # a pair is one number: its query, its country and its candidate's place among the ids, so pairs come out in the order of ties
+    group = query.indices.to_numpy().astype(np.int64) * len(place.dictionary) + place.indices.to_numpy()
+    pair, of = np.unique(np.repeat(group, sizes) * len(order) + rank[coded.indices.to_numpy()], return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    group, cand = np.divmod(pair, len(order))
+    mine, channel, family = group // len(place.dictionary), _codes(CHANNEL, kind), _codes(GROUP, kind)
+    weight = idf.to_numpy()
+    total = lambda w: np.round(np.bincount(of, w[row], len(pair)), 6)
+    sc, sn, sa = total(weight), total(np.where(channel == 0, weight, 0.0)), total(np.where(channel == 1, weight, 0.0))
+    stay = _place(mine, sc, cand) < top
+    if side:
+        stay |= ((_place(mine, sn, cand) < side) & (sn > 0)) | ((_place(mine, sa, cand) < side) & (sa > 0))
+    # the detail is of pairs that stay only
+    new = np.cumsum(stay) - 1
+    row, of = row[stay[of]], new[of[stay[of]]]
+    n = int(stay.sum())
+    most = np.zeros(n)
+    np.maximum.at(most, of, weight[row])
+    count = lambda some: pa.array(np.bincount(of[some], minlength=n).astype(np.int32))
+    ids = [place.dictionary.take(pa.array(group[stay] % len(place.dictionary))), query.dictionary.take(pa.array(mine[stay])), coded.dictionary.take(pa.array(order[cand[stay]]))]
+    sums = [pa.array(x[stay]) for x in (sc, sn, sa)]
+    detail = [count(slice(None)), pa.array(np.round(most, 6)), *(count(family[row] == g) for g in range(6))]
+    return pa.RecordBatch.from_arrays([*ids, *sums, *detail], names=[c.split()[0] for c in BEST.split(", ")])
+
+
+def _codes(kinds: dict[str, int], key: pa.DictionaryArray) -> np.ndarray:
+    return np.array([kinds.get(k, -1) for k in key.dictionary.to_pylist()])[key.indices.to_numpy()]
+
+
+def _place(query: np.ndarray, score: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    """Places from 0 within each query by score, ties by candidate."""
+    order = np.lexsort((cand, -score, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=-1))
+    out = np.empty(len(query), np.int64)
+    out[order] = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+    return out
+
+
 def block(rec: DataFrame, max_df: int = 300, top: int = 12, side: int = 3) -> DataFrame:
     """Candidate pairs of all countries at once; the country is part of every key."""
     keys = key_rows(rec)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstone.operators.blocking import key_rows, key_weights, postings, ranks, score_postings, side_slots
+from linkstone.operators.blocking import best_postings, key_rows, key_weights, postings, ranks
 from linkstone.sources.stages import staged
 
 
@@ -23,8 +23,7 @@ def expand(pool: DataFrame, rec: DataFrame, lists: DataFrame, n_seed: int = 3, n
     """
     seeds = _top(pool, "s1", "sc", n_seed, "cand").select("country", "s1", F.col("cand").alias("seed"))
     asked = rec.where("src > 1").join(seeds.select("country", F.col("seed").alias("entity_id")).distinct(), ["country", "entity_id"], "left_semi")
-    near = score_postings(key_rows(asked), lists).select("country", F.col("s1").alias("seed"), F.col("cand"), F.col("sc").alias("s"))
-    near = staged(_top(near, "seed", "s", hits, "cand").where("seed <> cand"), "near")
+    near = best_postings(key_rows(asked), lists, hits, 0, "near").select("country", F.col("s1").alias("seed"), F.col("cand"), F.col("sc").alias("s")).where("seed <> cand")
     found = seeds.join(near, ["country", "seed"]).select("country", "s1", "cand", F.col("s").alias("_s"))
     # dealt by s1 once: what is in the pool and what the neighbours found meet there, and all places of a query are taken there
     own = [c for c in pool.columns if c not in ("country", "s1", "cand")]
@@ -66,7 +65,7 @@ def build(rec: DataFrame, max_df: int = 300, top: int = 30, side: int = 3, n_see
     candidates = keys.where("src > 1")
     weights = key_weights(candidates, rec.where("src > 1"))
     lists = staged(postings(candidates, weights.where(F.col("df") <= max_df)), "postings")
-    direct = staged(side_slots(ranks(score_postings(keys.where("src = 1"), lists, detail=True)), top, side).drop("brank", "rank_n", "rank_a"), "direct")
+    direct = best_postings(keys.where("src = 1"), lists, top, side, "direct")
     return competition(query_context(expand(direct, rec, lists, n_seed, n_exp)))
 
 

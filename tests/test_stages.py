@@ -1,11 +1,15 @@
 import re
+import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from linkstone.functions.text import normalise
 from linkstone.operators import blocking, metrics, pool
 from linkstone.plans.queries import QUERIES
 from linkstone.plans.records import records
+from linkstone.sources.stages import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +83,54 @@ def test_miss_taxonomy_stages(spark):
 
 def test_pair_features_stages(spark):
     _bounded(spark, "er_pair_features", 15)
+
+
+def _shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_stage_table(spark, tmp_path):
+    core = "spark.sql.legacy.setCommandRejectsSparkCoreConfs"
+    spark.conf.set(core, "false")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    before = _shuffled(spark)
+    try:
+        table = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        spark.conf.unset(core)
+    for _ in range(20):
+        if not _shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffled(spark) - before
+    assert table.count() == 7
+
+
+def test_best_postings_are_the_side_slots_of_all_pairs(spark, monkeypatch):
+    rec = normalise(records(spark, SF)).persist()
+    keys = blocking.key_rows(rec)
+    candidates = keys.where("src > 1")
+    lists = blocking.postings(candidates, blocking.key_weights(candidates, rec.where("src > 1")).where("df <= 300")).persist()
+    plain = blocking.ranks(blocking.score_postings(keys.where("src = 1"), lists, detail=True))
+    names = [c.split()[0] for c in blocking.BEST.split(", ")]
+    for top, side, rounds in ((30, 3, 3), (2, 1, 1), (10, 0, 2)):
+        want = blocking.side_slots(plain, top, side).select(*names)
+        got = blocking.best_postings(keys.where("src = 1"), lists, top, side, "best", rounds)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        rounded = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert rounded(got) == rounded(want)
+    spark.catalog.clearCache()
+
+
+def test_best_postings_across_batches():
+    rows = [("x", q, k, w, c) for q, k, w, c in (("A", "c", 2.0, "b\ta"), ("A", "a", 1.0, "c"), ("A", "u", 0.5, "c\ta\tb"), ("B", "x", 3.0, "c"), ("C", "c", 1.0, "é\tz\td"))]
+    for size in (1, 2, 5):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["country", "s1", "key", "idf", "cands"]) for part in parts]
+        got = [tuple(r[c] for c in ("s1", "cand", "sc", "nkeys", "maxidf", "g0", "g1")) for b in blocking._kept(iter(batches), 1, 1) for r in b.to_pylist()]
+        # a and b tie by total and name, c is best by address alone
+        assert sorted(got) == [("A", "a", 2.5, 2, 2.0, 1, 1), ("A", "c", 1.5, 2, 1.0, 0, 1), ("B", "c", 3.0, 1, 3.0, 0, 0), ("C", "d", 1.0, 1, 1.0, 1, 0)]
+    assert list(blocking._kept(iter([]), 1, 1)) == []
