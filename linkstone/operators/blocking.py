@@ -44,8 +44,8 @@ def with_keys(rec: DataFrame) -> DataFrame:
 
 
 def key_rows(rec: DataFrame) -> DataFrame:
-    """(country, id, src, key): the inverted relation."""
-    return with_keys(rec).select("country", F.col("entity_id").alias("id"), "src", F.explode("keys").alias("key"))
+    """(country, id, src, key): the inverted relation; ``rec`` may have its keys already."""
+    return (rec if "keys" in rec.columns else with_keys(rec)).select("country", F.col("entity_id").alias("id"), "src", F.explode("keys").alias("key"))
 
 
 def key_weights(candidate_keys: DataFrame, candidates: DataFrame) -> DataFrame:

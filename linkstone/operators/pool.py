@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstone.operators.blocking import best_postings, key_rows, key_weights, postings, ranks
+from linkstone.operators.blocking import best_postings, key_rows, key_weights, postings, ranks, with_keys
 from linkstone.sources.stages import staged
 
 
@@ -58,9 +58,10 @@ def competition(pool: DataFrame) -> DataFrame:
 def build(rec: DataFrame, max_df: int = 300, top: int = 30, side: int = 3, n_seed: int = 3, n_exp: int = 5) -> DataFrame:
     """The whole pool of all countries.
 
-    The postings and the direct pool are each used twice; both are stage tables, as are the seeds'
-    neighbours.
+    The records' keys, the postings and the direct pool are used more than once; they are stage tables,
+    as are the seeds' neighbours.
     """
+    rec = staged(with_keys(rec).select("country", "entity_id", "src", "keys"), "keys")
     keys = key_rows(rec)
     candidates = keys.where("src > 1")
     weights = key_weights(candidates, rec.where("src > 1"))

@@ -134,3 +134,13 @@ def test_best_postings_across_batches():
         # a and b tie by total and name, c is best by address alone
         assert sorted(got) == [("A", "a", 2.5, 2, 2.0, 1, 1), ("A", "c", 1.5, 2, 1.0, 0, 1), ("B", "c", 3.0, 1, 3.0, 0, 0), ("C", "d", 1.0, 1, 1.0, 1, 0)]
     assert list(blocking._kept(iter([]), 1, 1)) == []
+
+
+def test_pool_takes_keys_once(spark, monkeypatch):
+    calls = []
+    made = blocking.with_keys
+    for module in (blocking, pool):
+        monkeypatch.setattr(module, "with_keys", lambda rec: calls.append(1) or made(rec))
+    pool.build(normalise(records(spark, SF)))
+    spark.catalog.clearCache()
+    assert len(calls) == 1
