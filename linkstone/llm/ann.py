@@ -5,11 +5,16 @@ bits.  Centres and codes are chosen for the products with queries that matter: o
 error the part parallel to the vector weighs ``eta`` times the part across it.  Scanning is by
 tables: a query's products with the centres, two codes to a table of 256 entries, are summed over
 the code bytes, and with the vector's exact squared length they give the distance in rank.  The
-``rerank`` best of each query are measured exactly on the original vectors.
+``rerank`` best of each query are measured exactly on the original vectors first.
 
-Equal vectors are indexed once, with the k + 1 smallest of their ids, so copies take one place among
-the ``rerank`` best however many there are, and all the ids an exact answer can need come with it.
-Where approximate distances are equal at the cut the smaller ids stay.
+No number of reranked vectors is enough for all rows: a group closer together than the codes can
+tell has one code and no order.  So every other vector has a bound: it is no nearer than its coded
+form, less the distance between the two, which is kept with the code.  Whatever is not beyond the
+k nearest measured so far by that bound is measured too, so the codes only save work and never
+lose a neighbour.  Vectors without structure are mostly measured; well coded ones hardly.
+
+Equal vectors are indexed once, with the k + 1 smallest of their ids, so copies take one place
+however many there are, and all the ids an exact answer can need come with it.
 
 Centres are fitted on a sample of at most ``sample`` vectors (those with the smallest hashes); every
 distinct vector is indexed and scanned for every query.
@@ -118,12 +123,33 @@ def smallest(near: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(below | (level & (level.cumsum(1) <= room)))[1].reshape(len(near), n)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 16384, query_block: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found, by Euclidean distance, of ``vectors`` (id, vector array<double>)."""
+def measured(q: np.ndarray, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (row of q, at of x), both given by components, summed in their order."""
+    total = np.zeros(len(row))
+    for j in range(len(q)):
+        total += (q[j, row] - x[j, at]) ** 2
+    return np.sqrt(total)
+
+
+def nearest(rows: tuple, k: int) -> tuple:
+    """Of (row, near, id) columns the k nearest of each row, ties to the smaller id, and their places from 0."""
+    order = np.lexsort((rows[2], rows[1], rows[0]))
+    row, near, ids = (c[order] for c in rows)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], near[place < k], ids[place < k], place[place < k]
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0.2, rerank: int = 400, sample: int = 16384, block: int = 16384, query_block: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest, by Euclidean distance, of ``vectors`` (id, vector array<double>)."""
     some = F.exists("vector", lambda x: x != 0)
     rows = stash(vectors.where(valid(F.col("vector")) & some).select(F.col("id").cast("long").alias("id"), "vector", F.lit(0.0).alias("norm")), "ann-vectors")
     width = -(-max(1, width_of(rows, "vector")) // 4) * 4
     apart = distinct(rows, width, k + 1)
+    # vectors that share an id count once: so many nearest vectors have k ids beside the query's own
+    repeats = rows.groupBy("id").agg(F.count_distinct(F.xxhash64("vector")).alias("n")).agg(F.max("n")).first()[0] or 1
+    keep = (k + 1) * repeats
+    # blocks travel with their vectors: at most 32 MB of candidates and 8 MB of queries
+    block, query_block = min(block, max(256, (1 << 22) // width)), min(query_block, max(256, (1 << 20) // width))
     # at most ``sample`` vectors, whatever the table's size
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column(0).combine_chunks()
     fitted = matrix(taken, width) if len(taken) else np.zeros((1, width))
@@ -145,11 +171,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
         part = pa.Table.from_batches(held).sort_by("id").combine_chunks()
         x = matrix(part.column("vector").combine_chunks(), width)
         codes = choose(x, centres, eta).astype(np.uint8)
-        paired = codes[:, 0::2] | codes[:, 1::2] << 4
-        return pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([np.ascontiguousarray(paired.T).tobytes()], pa.binary()), pa.array([(x * x).sum(1).tobytes()], pa.binary())], names=["ids", "codes", "squares"])
+        coded = centres[np.arange(len(centres))[None], codes].reshape(len(x), width)
+        paired = np.ascontiguousarray((codes[:, 0::2] | codes[:, 1::2] << 4).T)
+        squares, short = np.stack([(x * x).sum(1), (coded * coded).sum(1), np.sqrt(((x - coded) ** 2).sum(1))]), x.astype(np.float32)
+        columns = [part.column("id").to_numpy(), paired, squares, part.column("alone").to_numpy(), short if (short == x).all() else x]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "codes", "squares", "alone", "data"])
 
     spread, n_candidates = numbered(apart, block, "part")
-    index = spread.repartition(n_candidates, "part").select("id", "vector").mapInArrow(code, "ids binary, codes binary, squares binary").withColumn("cpart", F.pmod(F.spark_partition_id(), F.lit(n_candidates)))
+    index = spread.repartition(n_candidates, "part").select("id", "vector", (F.size("ids") == 1).alias("alone")).mapInArrow(code, "ids binary, codes binary, squares binary, alone binary, data binary").withColumn("cpart", F.pmod(F.spark_partition_id(), F.lit(n_candidates)))
     questions = stash(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"), F.first("norm").alias("norm")), "ann-asked")
     asked, n_queries = numbered(questions, query_block, "part")
     queries = blocks(asked.repartition(n_queries, "part"), width, query_block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata")).withColumn("qpart", F.pmod(F.spark_partition_id(), F.lit(n_queries))).withColumn("last", F.lit(n_candidates - 1))
@@ -157,40 +186,59 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, threshold: float = 0
 
     def start(pair: pa.RecordBatch) -> dict:
         qids, q = np.frombuffer(pair.column("qids")[0].as_py(), np.int64), np.frombuffer(pair.column("qdata")[0].as_py()).reshape(-1, width)
-        return {"ids": qids, "q": q, "best": [None] * -(-len(q) // 64)}
+        return {"ids": qids, "q": q, "best": [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * -(-len(q) // 64)}
 
     def kernel(state: dict, pair: pa.RecordBatch) -> None:
-        """The ``rerank`` + 1 best of each query so far and of this block (a query's own vector is one of them)."""
+        """The nearest of each query so far and of this block."""
         field = lambda name, kind=np.float64: np.frombuffer(pair.column(name)[0].as_py(), kind)
-        ids = field("ids", np.int64)
-        codes, squares = field("codes", np.uint8).reshape(-1, len(ids)), field("squares")
+        ids, alone = field("ids", np.int64), field("alone", bool)
+        codes, (squares, coded, error) = field("codes", np.uint8).reshape(-1, len(ids)), field("squares").reshape(3, -1)
+        raw = pair.column("data")[0].as_py()
+        x = np.frombuffer(raw, np.float32 if len(raw) == 4 * width * len(ids) else np.float64).astype(np.float64).reshape(-1, width)
+        across = np.ascontiguousarray(x.T)
         for part in range(len(state["best"])):
-            lookup = tables(state["q"][64 * part : 64 * part + 64], centres)
-            total = np.zeros((lookup.shape[1], len(ids)), np.float32)
+            here = slice(64 * part, 64 * part + 64)
+            q, lookup = state["q"][here], tables(state["q"][here], centres)
+            total = np.zeros((len(q), len(ids)), np.float32)
             for byte in range(len(codes)):
                 total += lookup[byte][:, codes[byte]]
+            # a vector that only the query's own id has is no candidate
+            own = alone[None, :] & (ids[None, :] == state["ids"][here, None])
             near = squares[None, :] - 2.0 * total
-            at = smallest(near, min(rerank + 1, len(ids)))
-            near, found = np.take_along_axis(near, at, 1), ids[at]
-            if state["best"][part] is not None:
-                near, found = (np.concatenate(both, 1) for both in zip(state["best"][part], (near, found), strict=True))
-                order = np.argsort(found, 1)
-                near, found = np.take_along_axis(near, order, 1), np.take_along_axis(found, order, 1)
-                at = smallest(near, min(rerank + 1, near.shape[1]))
-                near, found = np.take_along_axis(near, at, 1), np.take_along_axis(found, at, 1)
-            state["best"][part] = near, found
+            near[own | np.isnan(near)] = np.inf
+            first = np.zeros(near.shape, bool)
+            np.put_along_axis(first, smallest(near, min(max(rerank, keep), len(ids))), True, 1)
+
+            def add(some: np.ndarray, part=part, q=q) -> tuple:
+                row, at = np.nonzero(some)
+                found = row, measured(np.ascontiguousarray(q.T), across, row, at), ids[at]
+                return nearest(tuple(np.concatenate(both) for both in zip(state["best"][part], found, strict=True)), keep)
+
+            row, far, known, place = add(first & ~own)
+            state["best"][part] = row, far, known
+            reach = np.full((len(q), 1), np.inf)
+            reach[row[place == keep - 1], 0] = far[place == keep - 1] * (1 + 1e-9)
+            # the table's sums are in single precision; what they may be off by is taken off the bound
+            q2 = (q * q).sum(1)[:, None]
+            least = q2 + coded[None, :] - 2.0 * total - (len(codes) + 8) * 2.0**-21 * np.sqrt(q2 * coded[None, :])
+            rest = ~(np.sqrt(np.maximum(least, 0)) - error[None, :] > reach) & ~first & ~own
+            some = np.flatnonzero(rest.any(0))
+            if len(some):
+                # products of whole matrices leave few of them to be measured in order
+                exact = q2 + squares[None, some] - 2.0 * (q @ x[some].T)
+                room = (width + 8) * 2.0**-50 * (q2 + squares[None, some])
+                rest[:, some] &= ~(exact - room > reach**2)
+                state["best"][part] = add(rest)[:3]
 
     def finish(state: dict) -> pa.RecordBatch:
-        near, found = (np.concatenate(side) for side in zip(*state["best"], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(state["ids"], near.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], schema=_FOUND)
+        query = np.concatenate([state["ids"][64 * part + best[0]] for part, best in enumerate(state["best"])])
+        near, found = (np.concatenate([best[c] for best in state["best"]]) for c in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array(near)], schema=_FOUND)
 
     scanned = against(queries, index, start, kernel, finish, "query_id long, vec_id long, near double")
-    chosen = best(scanned, rerank + 1, F.asc("near"), F.asc("vec_id")).select("query_id", "vec_id")
-    near = chosen.join(apart.select(F.col("id").alias("vec_id"), F.col("vector").alias("x"), "ids"), "vec_id").join(questions.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-    others = near.withColumn("ids", F.filter("ids", lambda i: i != F.col("query_id"))).where(F.size("ids") > 0)
-    measured = others.select("query_id", "ids", F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda s, y: s + y)).alias("score"))
-    # k vectors have k ids or more
-    each = best(measured, k, F.asc("score"), F.asc(F.col("ids")[0])).select("query_id", "score", F.explode("ids").alias("vec_id"))
+    chosen = best(scanned, keep, F.asc("near"), F.asc("vec_id")).select("query_id", F.col("vec_id").alias("kept"), F.col("near").alias("score"))
+    each = chosen.join(apart.select(F.col("id").alias("kept"), "vector", "ids"), "kept").join(questions.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
+    each = each.select("query_id", F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda s, y: s + y)).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # of rows that repeat an id, the nearest
     return best(each, k, F.asc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
 

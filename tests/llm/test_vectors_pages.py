@@ -101,6 +101,26 @@ def test_ann_large_groups_of_copies(spark):
     assert got[0] == list(range(1101, 1111)) and got[10] == [i for _, i in want[10]] and got[6000][0] == 6001 and len(got[20]) == 10
 
 
+def test_ann_on_rows_the_codes_cannot_tell_apart(spark):
+    """Groups closer together than the codes tell, far from the origin and beside it, and rows without structure: all nearest are found."""
+    pick = np.random.default_rng(12)
+    centres = pick.normal(size=(3, 12)) * np.array([[1.0], [30.0], [0.01]])
+    rows = [(k, [float(v) for v in centres[k % 3] + pick.normal(size=12) * 10.0 ** -(k % 5 + 1) * (1 + k % 3)]) for k in range(1500)]
+    rows += [(1500 + k, [float(v) for v in row]) for k, row in enumerate(pick.normal(size=(1500, 12)))]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("id") % 50 == 0, 10, rerank=20, block=512, query_block=32).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for _, i in near] for q, near in _nearest(rows, lambda q: q % 50 == 0, 10).items()}
+
+
+def test_ann_of_one_id_with_many_vectors(spark):
+    """An id whose rows fill all places counts once, and the other ids come after it."""
+    rows = [(0, [1.0, 1.0])] + [(7, [1.0, 1.0 + k / 100]) for k in range(1, 30)] + [(k, [float(k), 5.0]) for k in range(10, 20)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert [r["vec_id"] for r in ann.search(df, F.col("id") == 0, 5).orderBy("rank").collect()] == [7, 10, 11, 12, 13]
+
+
 def test_ann_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [3.0, 4.0])], "id long, vector array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("id") == 0, 10).collect()] == [(0, 100)]
