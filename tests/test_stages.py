@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -5,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linkstone.functions import similarity
 from linkstone.functions.text import normalise
-from linkstone.operators import blocking, metrics, pool
+from linkstone.operators import blocking, features, metrics, pool, tfidf
 from linkstone.plans.queries import QUERIES
 from linkstone.plans.records import records
 from linkstone.sources.stages import staged
@@ -144,3 +146,33 @@ def test_pool_takes_keys_once(spark, monkeypatch):
     pool.build(normalise(records(spark, SF)))
     spark.catalog.clearCache()
     assert len(calls) == 1
+
+
+def test_pair_features_take_cosines_where_the_pairs_lie(spark, monkeypatch):
+    """No vector travels: the pairs' texts and the terms' frequencies give all cosines at once, equal to those by joins."""
+    rec = normalise(records(spark, SF)).persist()
+    pairs = blocking.block(rec).select("country", "s1", "cand").persist()
+    text = rec.withColumn("core", F.array_join("core", " ")).withColumn("alph", F.array_join("alph", " "))
+    made = []
+    plain = features.staged
+    monkeypatch.setattr(features, "staged", lambda df, what: made.append(what) or plain(df, what))
+    out = QUERIES["er_pair_features"](spark, SF).persist()
+    assert len([what for what in made if what.startswith("cos")]) == 1
+    for column, kind in (("nm", "c3"), ("core", "w"), ("alph", "c4")):
+        name = f"cos_{kind}_{column}"
+        want = tfidf.cosine(pairs, tfidf.vectors(text, column, kind), name)
+        assert out.select("s1", "cand", name).exceptAll(want.select("s1", "cand", name)).count() == 0
+    few = out.select("s1", "cand", "cos_c4_alph")
+    monkeypatch.setattr(tfidf, "TERMS", 0)
+    many = QUERIES["er_pair_features"](spark, SF)
+    assert many.columns == out.columns and many.select("s1", "cand", "cos_c4_alph").exceptAll(few).count() == 0
+    spark.catalog.clearCache()
+
+
+def test_partial_ratio_is_that_of_all_pieces():
+    pick = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(pick.choice("abcdef") for _ in range(pick.randint(0, 12))) for _ in "ab")
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        want = max(similarity.indel_ratio(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long))) if short else float(not long)
+        assert similarity.partial_of(a, b) == want
